@@ -13,7 +13,7 @@ from lodeflow.streaming.exactly_once import Deduplicated, deduplicate
 #: Copies further apart than this go through the look-up.
 DELAY_SECONDS = 10 * 86400
 #: Input of one micro-batch.
-BATCH_BYTES = "16g"
+BATCH_BYTES = 16 << 30
 
 
 def native_key() -> Column:
@@ -25,7 +25,8 @@ def native_key() -> Column:
 def run(spark: SparkSession, d: str, name: str, key: Column, event_time: str, order: str | None, payload: list[str]) -> Deduplicated:
     """Stream one table through the operator."""
     schema = table(spark, d, name).schema
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{d}/{name}.parquet")
+    # As a pattern, since a stream takes a single file by a pattern only.
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{d}/{name}.parque[t]")
     if order is None:
         order = "_arrival"
         stream = stream.withColumn("_arrival", F.unix_micros(F.col(event_time).cast("timestamp")))
