@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions.text import normalised
 
+#: Parts into which the references to one key are split when broken keys are joined back.
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class Parent:
@@ -71,9 +74,12 @@ def find_orphans(children: DataFrame, table_name: str, record: str, time: str, p
     for field, parent in parents.items():
         k = broken_keys(refs, field, parent)
         broken = k if broken is None else broken.unionByName(k)
+    # A valid key of a third of all rows must not gather in one task on its way to this join; broken keys are few, so they can be repeated.
+    refs = refs.withColumn("_salt", F.pmod(F.xxhash64("record_sid"), F.lit(SALTS)).cast("int"))
+    broken = broken.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     status = F.when(F.col("_removed"), "removed").when(F.col("_missing"), "missing").when(F.col("parent_seen") > F.col("first_seen"), "late")
     return (
-        refs.join(broken, ["ref_field", "ref_sid"])
+        refs.join(broken, ["ref_field", "ref_sid", "_salt"])
         .withColumn("status", status)
         .where("status IS NOT NULL")
         .select(F.lit(table_name).alias("table_name"), "record_sid", "ref_field", "ref_sid", "status", "first_seen")
