@@ -8,14 +8,17 @@ number of documents and on tokens. The flight phase moves three undecided
 documents at a time along the null space of those two constraints until one is
 decided; it runs in blocks of bounded size, whose undecided rests (two each)
 are gathered in further rounds. At most two documents per source are left for
-the landing phase, which takes the choice closest to the target.
+the landing phase, which takes the choice closest to the target and balances
+what a large document among them leaves over.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ from lodeflow.session import ensure_checkpoint_dir
 
 #: Documents of a block of the flight phase, and blocks whose rests are gathered in one further block.
 BLOCK = 4096
-FAN_IN = 1024
+FAN_IN = 64
+#: Decided documents that each block sends along for exchanges in the landing phase.
+COMPANIONS = 64
 
 
 def fly(sizes: Sequence[int], p: list[float], seed: str) -> list[float]:
@@ -54,8 +59,14 @@ def fly(sizes: Sequence[int], p: list[float], seed: str) -> list[float]:
     return [min(1.0, max(0.0, round(x) if not 1e-9 < x < 1 - 1e-9 else x)) for x in p]
 
 
-def land(sizes: Sequence[int], p: list[float]) -> list[float]:
-    """Decide the last ones: the choice whose tokens, then number, come closest to what is expected."""
+def land(sizes: Sequence[int], p: list[float], swaps: int = 8) -> list[float]:
+    """Decide the last ones and settle what they leave of the token balance.
+
+    First the choice whose tokens, then number, come closest to what is
+    expected. A large document among them can't be balanced by the others, so
+    the difference is then worked off by exchanging a taken document of this
+    group for one that isn't, as long as that helps.
+    """
     rest = [i for i, x in enumerate(p) if 0 < x < 1]
     want, number = sum(sizes[i] * p[i] for i in rest), sum(p[i] for i in rest)
     choices = range(1 << len(rest))
@@ -64,9 +75,27 @@ def land(sizes: Sequence[int], p: list[float]) -> list[float]:
     p = list(p)
     for k, i in enumerate(rest):
         p[i] = float(best >> k & 1)
+    over = sum(sizes[i] for k, i in enumerate(rest) if best >> k & 1) - want
+    for _ in range(swaps):
+        out = sorted((sizes[i], i) for i, x in enumerate(p) if not x)
+        closest = (abs(over), 0, -1, -1)
+        for i, x in enumerate(p):
+            at = bisect.bisect_left(out, (sizes[i] - over, -1)) if x else 0
+            for z, j in out[max(0, at - 1) : at + 1] if x else ():
+                closest = min(closest, (abs(over - sizes[i] + z), 1, i, j))
+        _, found, i, j = closest
+        if not found:
+            break
+        p[i], p[j] = 0.0, 1.0
+        over += sizes[j] - sizes[i]
     return p
 
 
+def companions(n: int) -> np.ndarray:
+    """Positions among n documents from large to small: half of them the largest, half spread evenly."""
+    return np.unique(np.concatenate([np.arange(min(n, COMPANIONS // 2)), np.linspace(0, n - 1, COMPANIONS // 2).astype(int)]))
+
+
 def shares(stock: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]]) -> tuple[float, dict[str, float]]:
     """The total size, and the copies per document of each source.
 
@@ -102,7 +131,7 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id"
     certain = drawn.where("_p <= 1e-9")
     state = drawn.where("_p > 1e-9").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("_blocks")).cast("int"))
     kept = [c for c in state.columns if c not in ("_p", "_block", "_blocks")]
-    schema = f"{source} string, `{key}` {dict(items.dtypes)[key]}, n_tokens bigint, _whole int, _blocks int, _p double, _block int"
+    schema = f"{source} string, `{key}` {dict(items.dtypes)[key]}, n_tokens bigint, _whole int, _blocks int, _p double, _block int, _carry boolean"
     width, level, decided = max(-(-stock[s][0] // BLOCK) for s in copies), 0, None
 
     def round_of(last: bool, level: int):
@@ -111,7 +140,10 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id"
             g = g.sort_values(["n_tokens", key], ascending=[False, True])
             p = fly(g.n_tokens.tolist(), g["_p"].tolist(), f"{seed}/{level}/{g[source].iat[0]}/{g['_block'].iat[0]}")
             g["_p"] = land(g.n_tokens.tolist(), p) if last else p
-            return g[[source, key, "n_tokens", "_whole", "_blocks", "_p", "_block"]]
+            g["_carry"] = (g["_p"] > 0) & (g["_p"] < 1)
+            if not last:
+                g.iloc[companions(len(g)), g.columns.get_loc("_carry")] = True
+            return g[[source, key, "n_tokens", "_whole", "_blocks", "_p", "_block", "_carry"]]
 
         return run
 
@@ -120,12 +152,12 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id"
         state = state.groupBy(source, "_block").applyInPandas(round_of(last, level), schema)
         if not last:
             state = state.checkpoint()
-        done = state if last else state.where("_p = 0 or _p = 1")
+        done = state if last else state.where("not _carry")
         decided = done if decided is None else decided.unionByName(done)
         if last:
             break
         width, level = -(-width // FAN_IN), level + 1
-        state = state.where("_p > 0 and _p < 1").withColumn("_block", F.lit(0) if width == 1 else F.floor(F.col("_block") / FAN_IN).cast("int"))
+        state = state.where("_carry").drop("_carry").withColumn("_block", F.lit(0) if width == 1 else F.floor(F.col("_block") / FAN_IN).cast("int"))
     all_ = certain.select(*kept, F.lit(0.0).alias("_p")).unionByName(decided.select(*kept, "_p"))
     return all_.select(key, source, "n_tokens", (F.col("_whole") + F.col("_p").cast("int")).cast("int").alias("copies")).where("copies > 0")
 
