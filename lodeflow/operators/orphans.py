@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeflow.functions.compact import compact, restore
 from lodeflow.functions.text import normalised
 
 #: Parts into which the references to one key are split when broken keys are joined back.
@@ -29,14 +30,19 @@ class Parent:
     removed: DataFrame | None = None
 
 
+def _key(c: str):
+    """The normalised sid in its short form."""
+    return compact(normalised(c))
+
+
 def references(children: DataFrame, record: str, time: str, fields: list[str]) -> DataFrame:
-    """record_sid, first_seen, ref_field, ref_sid: each record's distinct non-null references, all normalised.
+    """record_sid, first_seen, ref_field, ref_sid: each record's distinct non-null references; sids normalised and compact.
 
     first_seen is the earliest arrival of any row of the record. Rows without a
     record identifier refer for nobody and give nothing; a blank reference is a
     reference to the empty key, a NULL one is none.
     """
-    rows = children.select(normalised(record).alias("_record"), F.col(time).alias("_time"), *[normalised(f).alias(f"_f{i}") for i, f in enumerate(fields)]).where("_record IS NOT NULL")
+    rows = children.select(_key(record).alias("_record"), F.col(time).alias("_time"), *[_key(f).alias(f"_f{i}") for i, f in enumerate(fields)]).where("_record IS NOT NULL")
     per_record = rows.groupBy("_record").agg(F.min("_time").alias("first_seen"), *[F.collect_set(f"_f{i}").alias(f"_f{i}") for i in range(len(fields))])
 
 
@@ -50,13 +56,13 @@ def references(children: DataFrame, record: str, time: str, fields: list[str]) -
 def broken_keys(refs: DataFrame, field: str, parent: Parent) -> DataFrame:
     """ref_field, ref_sid, parent_seen, _removed, _missing: keys that are removed, absent, or later than their first use."""
     keys = refs.where(F.col("ref_field") == field).groupBy("ref_field", "ref_sid").agg(F.min("first_seen").alias("_used"))
-    there = parent.rows.select(normalised(parent.key).alias("ref_sid"), F.col(parent.time).alias("_t")).where("ref_sid IS NOT NULL").groupBy("ref_sid").agg(F.min("_t").alias("parent_seen"))
+    there = parent.rows.select(_key(parent.key).alias("ref_sid"), F.col(parent.time).alias("_t")).where("ref_sid IS NOT NULL").groupBy("ref_sid").agg(F.min("_t").alias("parent_seen"))
     absent = keys.join(there, "ref_sid", "left_anti").select("ref_field", "ref_sid", F.lit(None).cast("timestamp").alias("parent_seen"), F.lit(True).alias("_missing"))
     late = keys.join(there, "ref_sid").where("parent_seen > _used").select("ref_field", "ref_sid", "parent_seen", F.lit(False).alias("_missing"))
     found = absent.unionByName(late)
     if parent.removed is None:
         return found.withColumn("_removed", F.lit(False))
-    gone = parent.removed.select(normalised(parent.removed.columns[0]).alias("ref_sid")).where("ref_sid IS NOT NULL").distinct().withColumn("_removed", F.lit(True))
+    gone = parent.removed.select(_key(parent.removed.columns[0]).alias("ref_sid")).where("ref_sid IS NOT NULL").distinct().withColumn("_removed", F.lit(True))
     removed = keys.select("ref_field", "ref_sid").join(gone, "ref_sid").select("ref_field", "ref_sid", F.lit(None).cast("timestamp").alias("parent_seen"), F.lit(False).alias("_missing"), "_removed")
     return found.join(gone.drop("_removed"), "ref_sid", "left_anti").withColumn("_removed", F.lit(False)).unionByName(removed)
 
@@ -82,7 +88,7 @@ def find_orphans(children: DataFrame, table_name: str, record: str, time: str, p
         refs.join(broken, ["ref_field", "ref_sid", "_salt"])
         .withColumn("status", status)
         .where("status IS NOT NULL")
-        .select(F.lit(table_name).alias("table_name"), "record_sid", "ref_field", "ref_sid", "status", "first_seen")
+        .select(F.lit(table_name).alias("table_name"), restore(F.col("record_sid")).alias("record_sid"), "ref_field", restore(F.col("ref_sid")).alias("ref_sid"), "status", "first_seen")
     )
 
 
