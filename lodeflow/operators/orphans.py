@@ -53,18 +53,29 @@ def references(children: DataFrame, record: str, time: str, fields: list[str]) -
     return per_record.select(F.col("_record").alias("record_sid"), "first_seen", F.explode(pairs).alias("_r")).select("record_sid", "first_seen", "_r.ref_field", "_r.ref_sid")
 
 
-def broken_keys(refs: DataFrame, field: str, parent: Parent) -> DataFrame:
-    """ref_field, ref_sid, parent_seen, _removed, _missing: keys that are removed, absent, or later than their first use."""
-    keys = refs.where(F.col("ref_field") == field).groupBy("ref_field", "ref_sid").agg(F.min("first_seen").alias("_used"))
-    there = parent.rows.select(_key(parent.key).alias("ref_sid"), F.col(parent.time).alias("_t")).where("ref_sid IS NOT NULL").groupBy("ref_sid").agg(F.min("_t").alias("parent_seen"))
-    absent = keys.join(there, "ref_sid", "left_anti").select("ref_field", "ref_sid", F.lit(None).cast("timestamp").alias("parent_seen"), F.lit(True).alias("_missing"))
-    late = keys.join(there, "ref_sid").where("parent_seen > _used").select("ref_field", "ref_sid", "parent_seen", F.lit(False).alias("_missing"))
-    found = absent.unionByName(late)
-    if parent.removed is None:
-        return found.withColumn("_removed", F.lit(False))
-    gone = parent.removed.select(_key(parent.removed.columns[0]).alias("ref_sid")).where("ref_sid IS NOT NULL").distinct().withColumn("_removed", F.lit(True))
-    removed = keys.select("ref_field", "ref_sid").join(gone, "ref_sid").select("ref_field", "ref_sid", F.lit(None).cast("timestamp").alias("parent_seen"), F.lit(False).alias("_missing"), "_removed")
-    return found.join(gone.drop("_removed"), "ref_sid", "left_anti").withColumn("_removed", F.lit(False)).unionByName(removed)
+def broken_keys(refs: DataFrame, parents: Mapping[str, Parent]) -> DataFrame:
+    """ref_field, ref_sid, parent_seen, _removed, _missing: keys that are removed, absent, or later than their first use.
+
+    The anti-join is written as an outer join, so that one pass also has the
+    time of the parents that exist; all fields go through it together.
+    """
+    keys = refs.groupBy("ref_field", "ref_sid").agg(F.min("first_seen").alias("_used"))
+    side = ["ref_field", "ref_sid"]
+    there = gone = None
+    for field, p in parents.items():
+        rows = p.rows.select(F.lit(field).alias("ref_field"), _key(p.key).alias("ref_sid"), F.col(p.time).alias("_t"))
+        there = rows if there is None else there.unionByName(rows)
+        if p.removed is not None:
+            rows = p.removed.select(F.lit(field).alias("ref_field"), _key(p.removed.columns[0]).alias("ref_sid"))
+            gone = rows if gone is None else gone.unionByName(rows)
+    there = there.where("ref_sid IS NOT NULL").groupBy(*side).agg(F.min("_t").alias("parent_seen"), F.lit(True).alias("_there"))
+    found = keys.join(there, side, "left")
+    if gone is None:
+        found = found.withColumn("_removed", F.lit(False))
+    else:
+        found = found.join(gone.where("ref_sid IS NOT NULL").distinct().withColumn("_removed", F.lit(True)), side, "left")
+    found = found.select(*side, "parent_seen", F.coalesce("_removed", F.lit(False)).alias("_removed"), F.col("_there").isNull().alias("_missing"), "_used")
+    return found.where("_removed OR _missing OR parent_seen > _used").drop("_used")
 
 
 def find_orphans(children: DataFrame, table_name: str, record: str, time: str, parents: Mapping[str, Parent]) -> DataFrame:
@@ -76,10 +87,7 @@ def find_orphans(children: DataFrame, table_name: str, record: str, time: str, p
     distinct reference. Empty tables give no rows, or all references missing.
     """
     refs = references(children, record, time, list(parents))
-    broken = None
-    for field, parent in parents.items():
-        k = broken_keys(refs, field, parent)
-        broken = k if broken is None else broken.unionByName(k)
+    broken = broken_keys(refs, parents)
     # A valid key of a third of all rows must not gather in one task on its way to this join; broken keys are few, so they can be repeated.
     refs = refs.withColumn("_salt", F.pmod(F.xxhash64("record_sid"), F.lit(SALTS)).cast("int"))
     broken = broken.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
