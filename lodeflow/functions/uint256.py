@@ -63,5 +63,5 @@ def hex_digits_to_decimal(c: Column) -> Column:
     lo = F.conv(F.substring(h, 49, 16), 16, 10).cast("decimal(20,0)")
     top = F.lit("18446744073709551616").cast("decimal(20,0)")
     ok = F.lower(c).rlike("^0x[0-9a-f]{1,64}$") & F.substring(h, 1, 32).rlike("^0*$")
-    # 5421010862427522169 * 2^64 is the last multiple below 10^38.
-    return F.when(ok & (hi <= F.lit("5421010862427522169").cast("decimal(20,0)")), F.try_add((hi * top).cast("decimal(38,0)"), lo).cast("decimal(38,0)"))
+    # 5421010862427522170 * 2^64 is the last multiple below 10^38; the sum may still be beyond it.
+    return F.when(ok & (hi <= F.lit("5421010862427522170").cast("decimal(20,0)")), F.try_add((hi * top).cast("decimal(38,0)"), lo).cast("decimal(38,0)"))

@@ -284,7 +284,7 @@ def consolidate(records: DataFrame) -> DataFrame:
     written as such and bytes as 0x text, whichever form the file uses.
     """
     projection = file_fields(records).where("in_target").groupBy("feed", "file_seq").agg(F.map_from_entries(F.collect_list(F.struct("field", "path"))).alias("_keys"))
-    rows = records.join(projection, ["feed", "file_seq"], "left").withColumn("_r", F.from_json("record", "map<string,string>"))
+    rows = records.select("file_seq", "feed", "file_name", "record_no", "record").join(projection, ["feed", "file_seq"], "left").withColumn("_r", F.from_json("record", "map<string,string>"))
 
     def value(field: str) -> Column:
         key = F.element_at("_keys", F.lit(field))
