@@ -126,11 +126,12 @@ def sure_label(text: str, c: Candidate, model: Model) -> int | None:
 
 def harvest(texts: Sequence[str]) -> tuple[frozenset[str], frozenset[str]]:
     """Given names, from sure places; and words too common to be surnames, from all documents."""
-    first, seen = Counter(), Counter()
+    first, seen, last = Counter(), Counter(), Counter()
     place = re.compile(r"(?:\bholder[\"']?: ?[\"']?|@author |\bAuthor: |\bReviewed-by: |\b(?:maintainer|owner) = [\"']?)([^\W\d_][^\n\"'<>(;/*@|{}]{4,60})")
     for t in texts:
         for m in place.finditer(t):
             who = m[1].strip().rstrip(".")
+            last.update(w.lower() for w in _LETTERS.findall(who))
             if "," in who:
                 who = who.partition(",")[2].strip()
             w = who.split(" ")[0].lower()
@@ -139,7 +140,8 @@ def harvest(texts: Sequence[str]) -> tuple[frozenset[str], frozenset[str]]:
         seen.update({w.lower() for w in _LETTERS.findall(t)})
     often = max(5, len(texts) // 500)
     given = frozenset(w for w, n in first.items() if n >= 2 or len(texts) < 1000)
-    return given, frozenset(w for w, n in seen.items() if n >= often) - given
+    # A frequent word that often stands where names stand may be a surname after all.
+    return given, frozenset(w for w, n in seen.items() if n >= often and last[w] < 0.1 * n) - given
 
 
 def fit_weights(rows: list[tuple[list[str], list[str], int]], rounds: int = 120, ridge: float = 1.0) -> dict[str, float]:

@@ -15,6 +15,8 @@ _DOT = r"(?:\.| ?[\[(] ?dot ?[\])] ?| dot )"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 _LOCAL = r"[A-Za-z0-9À-ÿ](?:[\wÀ-ÿ.+-]{0,62}[\wÀ-ÿ+-])?"
 EMAIL_RE = re.compile(rf"(?<![\w.+-])(?:{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,24}}|{_LOCAL} at {_LABEL}(?: dot {_LABEL})* dot [A-Za-z]{{2,24}})(?![\w-])", re.IGNORECASE)
+_LOGIN_BEFORE = re.compile(r"[a-z]://[^\s/]*$")
+_LOGIN_AFTER = re.compile(r":[\w.~-]*/[\w.~/-]|:[\w~-]+\.git\b")
 _EMAIL_HINT = re.compile(r"@|%40|&#64;|[\[(] ?at ?[\])]| at ", re.IGNORECASE)
 
 #: Written forms of telephone and identity numbers; the first that fits counts.
@@ -86,6 +88,9 @@ def emails(text: str) -> list[Candidate]:
     out = []
     for m in EMAIL_RE.finditer(text):
         s = m.group()
+        # A login in a repository or database address is no e-mail address.
+        if _LOGIN_BEFORE.search(text, max(0, m.start() - 80), m.start()) or _LOGIN_AFTER.match(text, m.end()):
+            continue
         form = "at" if "@" in s else "escaped" if "%40" in s or "&#64;" in s else "bracket" if re.search(r"[\[(] ?at", s, re.IGNORECASE) else "words"
         out.append(Candidate(m.start(), m.end(), EMAIL, form, s.lower()))
     return out
