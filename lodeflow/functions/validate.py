@@ -1,26 +1,37 @@
-"""Validation of raw block and transfer records: one reject reason per row, as a Column."""
+"""Validation of raw block and transfer records as Columns.
+
+Every check looks at the raw text only and refuses NULL and the null tokens by
+its form, so that valid rows are found by a plain conjunction, which Catalyst
+can split and push down. The first reason is worked out only where it is asked for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeflow.functions.text import NUMBER, normalised, null_tokens_to_null, number_or_null, trimmed
+from lodeflow.functions.text import NULL_TOKENS, NUMBER, normalised, null_tokens_to_null, number_or_null, trimmed
 
 LOWEST_BLOCK, HIGHEST_BLOCK, LONGEST_NUMBER = 10_000, 999_999_999, 20
+Checks = list[tuple[str, Column]]
 
 
 def block_number(c: str) -> Column:
-    """The block number as bigint, fractions cut off; NULL if it isn't one."""
+    """The block number as bigint, fractions cut off, of a text that is_block_number."""
+    return F.floor(trimmed(c).try_cast("double")).cast("bigint")
+
+
+def is_block_number(c: str) -> Column:
     t = trimmed(c)
-    n = F.when((F.length(t) <= LONGEST_NUMBER) & t.rlike(NUMBER), F.floor(t.try_cast("double")))
-    return F.when(n.between(LOWEST_BLOCK, HIGHEST_BLOCK), n.cast("bigint"))
+    middle, half = (LOWEST_BLOCK + HIGHEST_BLOCK) / 2, (HIGHEST_BLOCK - LOWEST_BLOCK) / 2
+    return t.rlike(NUMBER) & (F.length(t) <= LONGEST_NUMBER) & (F.abs(F.floor(t.try_cast("double")) - middle) <= half)
 
 
 def is_hash(c: str) -> Column:
     """0x and 64 more characters; they needn't be hexadecimal."""
-    t = normalised(c)
-    return t.startswith("0x") & (F.length(t) == 66)
+    return normalised(c).rlike("(?s)^0x.{64}$")
 
 
 def is_address(c: str) -> Column:
@@ -31,31 +42,37 @@ def is_amount(c: str) -> Column:
     return normalised(c).rlike("^0x[0-9a-f]{64}$")
 
 
-def with_defaults(raw: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The columns with null tokens as NULL, and chain_id 1 where it is NULL."""
-    return raw.select(*[null_tokens_to_null(c).alias(c) if c != "chain_id" else F.coalesce(null_tokens_to_null(c), F.lit("1")).alias(c) for c in columns])
+def is_small_number(c: str) -> Column:
+    return trimmed(c).rlike("^[0-9]{1,9}$")
+
+
+def chain_id() -> Column:
+    """chain_id as text, 1 where it is NULL or a null token."""
+    return F.coalesce(null_tokens_to_null("chain_id"), F.lit("1"))
+
+
+def present(*columns: str) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() & ~F.col(c).isin(*NULL_TOKENS) for c in columns])
+
+
+def all_of(checks: Checks) -> Column:
+    return reduce(Column.__and__, [ok for _, ok in checks])
 
 
-def _first(checks: list[tuple[str, Column]]) -> Column:
-    """The name of the first check that fails; NULL if all hold."""
-    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
+def first_reason(missing: tuple[str, ...], checks: Checks) -> Column:
+    """missing_value, or the name of the first check that fails; NULL if all hold."""
+    return F.coalesce(F.when(~present(*missing), F.lit("missing_value")), *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
 
 
-def transfer_reason() -> Column:
-    present = F.lit(True)
-    for c in ("block_number", "transfer_index", "transaction_hash", "from_address", "to_address", "value_binary"):
-        present = present & F.col(c).isNotNull()
-    return _first([
-        ("missing_value", present), ("block_number", block_number("block_number").isNotNull()), ("transaction_hash", is_hash("transaction_hash")),
-        ("from_address", is_address("from_address")), ("to_address", is_address("to_address")), ("value_binary", is_amount("value_binary")),
-        ("transfer_index", trimmed("transfer_index").rlike("^[0-9]{1,9}$")), ("chain_id", trimmed("chain_id").rlike("^[0-9]{1,9}$")),
-    ])
+def transfer_checks() -> Checks:
+    return [
+        ("block_number", is_block_number("block_number")), ("transaction_hash", is_hash("transaction_hash")), ("from_address", is_address("from_address")), ("to_address", is_address("to_address")),
+        ("value_binary", is_amount("value_binary")), ("transfer_index", is_small_number("transfer_index")), ("chain_id", trimmed(chain_id()).rlike("^[0-9]{1,9}$")),
+    ]
 
 
-def block_reason() -> Column:
-    present = F.col("block_number").isNotNull() & F.col("block_hash").isNotNull() & F.col("timestamp").isNotNull()
-    whole = number_or_null("timestamp")
-    return _first([
-        ("missing_value", present), ("block_number", block_number("block_number").isNotNull()), ("block_hash", is_hash("block_hash")),
-        ("timestamp", whole.between(-9e18, 9e18)), ("chain_id", trimmed("chain_id").rlike("^[0-9]{1,9}$")),
-    ])
+def block_checks() -> Checks:
+    return [
+        ("block_number", is_block_number("block_number")), ("block_hash", is_hash("block_hash")),
+        ("timestamp", F.abs(number_or_null("timestamp")) <= 9e18), ("chain_id", trimmed(chain_id()).rlike("^[0-9]{1,9}$")),
+    ]

@@ -6,34 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.functions import validate as V
-from lodeflow.functions.text import normalised, number_or_null, trimmed
+from lodeflow.functions.text import normalised, null_tokens_to_null, number_or_null, trimmed
 from lodeflow.functions.uint256 import hex_digits_to_decimal
 from lodeflow.operators.first_copy import first_copy
-from lodeflow.schemas import NATIVE_TOKEN, RAW_BLOCK_COLUMNS, RAW_TRANSFER_COLUMNS, SCHEMAS
+from lodeflow.schemas import NATIVE_TOKEN, RAW_TRANSFER_COLUMNS, SCHEMAS
 
 
-def checked_transfers(raw: DataFrame, *keep: str) -> DataFrame:
-    """The raw columns with reject_reason (NULL if valid), and the columns to keep along."""
-    rows = raw.select(*[c.alias(n) for c, n in zip(_defaults(), RAW_TRANSFER_COLUMNS, strict=True)], *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)])
-    return rows.withColumn("reject_reason", V.transfer_reason()).select(*RAW_TRANSFER_COLUMNS, "reject_reason", *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)])
+REQUIRED = RAW_TRANSFER_COLUMNS[:6]
 
 
-def _defaults() -> list:
-    tokens = V.null_tokens_to_null
-    return [tokens(c) if c != "chain_id" else F.coalesce(tokens(c), F.lit("1")) for c in RAW_TRANSFER_COLUMNS]
+def checked_transfers(raw: DataFrame, *keep: str) -> DataFrame:
+    """The raw columns with reject_reason (NULL if valid), and the columns to keep along."""
+    return raw.select(*RAW_TRANSFER_COLUMNS, V.first_reason(REQUIRED, V.transfer_checks()).alias("reject_reason"), *keep)
 
 
 def clean_transfers(raw: DataFrame, *keep: str) -> DataFrame:
     """Valid transfers, normalised: block_number bigint, transfer_index and chain_id int, lower-case hashes and addresses."""
-    ok = checked_transfers(raw, *keep).where("reject_reason IS NULL")
     lower = [normalised(c).alias(c) for c in ("transaction_hash", "from_address", "to_address", "value_binary")]
-    return ok.select(V.block_number("block_number").alias("block_number"), trimmed("transfer_index").cast("int").alias("transfer_index"), *lower, trimmed("chain_id").cast("int").alias("chain_id"), *keep)
+    return raw.where(V.all_of(V.transfer_checks())).select(V.block_number("block_number").alias("block_number"), trimmed("transfer_index").cast("int").alias("transfer_index"), *lower, trimmed(V.chain_id()).cast("int").alias("chain_id"), *keep)
 
 
 def clean_blocks(raw: DataFrame) -> DataFrame:
     """Valid blocks, normalised; parent_hash may be NULL."""
-    rows = V.with_defaults(raw, RAW_BLOCK_COLUMNS).withColumn("reject_reason", V.block_reason()).where("reject_reason IS NULL")
-    return rows.select(normalised("block_hash").alias("block_hash"), F.col("parent_hash"), V.block_number("block_number").alias("block_number"), number_or_null("timestamp").cast("bigint").alias("timestamp"), trimmed("chain_id").cast("int").alias("chain_id"))
+    return raw.where(V.all_of(V.block_checks())).select(normalised("block_hash").alias("block_hash"), null_tokens_to_null("parent_hash").alias("parent_hash"), V.block_number("block_number").alias("block_number"), number_or_null("timestamp").cast("bigint").alias("timestamp"), trimmed(V.chain_id()).cast("int").alias("chain_id"))
 
 
 def reject_counts(checked: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.operators import clean, edgelist, features, graph
+from lodeflow.session import ensure_checkpoint_dir
 from lodeflow.sources.tables import table
 
 YEAR, MONTH = 2023, 1
@@ -33,7 +34,9 @@ def blocks(transfers: DataFrame) -> DataFrame:
 
 
 def filtered_edges(spark: SparkSession, d: str) -> DataFrame:
-    t = clean.clean_transfers(raw_transfers(spark, d))
+    ensure_checkpoint_dir(spark)
+    # Clean transfers are stored: three tables are made from them.
+    t = clean.clean_transfers(raw_transfers(spark, d)).checkpoint()
     edges = edgelist.edgelist(clean.abstract_transfer(t), clean.abstract_transaction(t), clean.abstract_block(blocks(t)))
     return edgelist.filter_edges(edges)
 
@@ -50,8 +53,6 @@ def whitelist(pairs_: DataFrame) -> DataFrame:
 
 def network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs, flagged vertices and numbered edges; the pairs are kept at a checkpoint, as all three need them."""
-    from lodeflow.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     p = pairs(spark, d).checkpoint()
     v = graph.flag_infra(graph.number_vertices(p), whitelist(p))
@@ -59,8 +60,6 @@ def network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    from lodeflow.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     _, v, e = network(spark, d)
     v, e = v.checkpoint(), e.checkpoint()
