@@ -10,6 +10,9 @@ the logarithm of the number of leaf chunks.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,4 +56,5 @@ def account_totals(rows: DataFrame, roles: dict[str, tuple[str, str]], amount: s
 
 def heavy_keys(counts: DataFrame, n_all: int, share: float) -> DataFrame:
     """The rows of counts (with n_rows) whose key owns at least `share` of n_all rows; NULL keys are no keys."""
-    return counts.where((F.col("n_rows") >= F.lit(share) * F.lit(n_all)) & F.col("account_sid").isNotNull())
+    least = math.ceil(Fraction(str(share)) * n_all)
+    return counts.where((F.col("n_rows") >= F.lit(max(least, 1))) & F.col("account_sid").isNotNull())
