@@ -30,7 +30,9 @@ def run(spark: SparkSession, d: str, name: str, key: Column, event_time: str, or
     if order is None:
         order = "_arrival"
         stream = stream.withColumn("_arrival", F.unix_micros(F.col(event_time).cast("timestamp")))
-    return deduplicate(stream, key, event_time, order, payload, shared_dir(spark, f"dedup-{name}"), DELAY_SECONDS)
+    # State values stay small on any cluster: shards follow the number of shuffle partitions.
+    shards = max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return deduplicate(stream, key, event_time, order, payload, shared_dir(spark, f"dedup-{name}"), DELAY_SECONDS, shards)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
