@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.session import ensure_checkpoint_dir
 
-#: Parts into which the items of one size are cut for ranking.
+#: Parts into which the items of one size are cut for ranking, at least; more where there are more shuffle partitions.
 RANK_PARTS = 64
 
 
@@ -202,7 +202,7 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(c).cast("bigint").alias("c")) for i, (_, c) in enumerate(kinds)]))
     cut = sized.select(key, "n", each.alias("_k")).select(key, "n", "_k.k", "_k.c").withColumn("full", F.when(F.col("n") > F.col("c"), F.floor(F.col("n") / F.col("c"))).otherwise(0).cast("bigint"))
     cut = cut.withColumn("rest", F.col("n") - F.col("full") * F.col("c"))
-    part = F.pmod(F.xxhash64(key), F.lit(RANK_PARTS)).cast("int")
+    part = F.pmod(F.xxhash64(key), F.lit(max(RANK_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))).cast("int")
     rests = cut.where("rest > 0").withColumn("_part", part)
     # One row per kind, size and part at most: bounded by the capacities, whatever the number of items.
     sizes = rests.groupBy("k", "rest", "_part").agg(F.count("*").alias("m"))
