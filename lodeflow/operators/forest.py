@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES, SAMPLE, SEED = 300, 4096, 42
+TREES, SAMPLE, SEED = 300, 1024, 42
 EULER = 0.5772156649
 
 

@@ -9,6 +9,7 @@ from lodeflow.operators import detect
 from lodeflow.operators.forest import SAMPLE, TREES, isolation_scores
 from lodeflow.operators.order import average_rank
 from lodeflow.schemas import RESULT_COLUMNS, RULES
+from lodeflow.session import ensure_checkpoint_dir
 
 PARTS = ("rule_score_100", "mahalanobis_distance_stats_score_100", "iforest_stats_score_100")
 
@@ -42,15 +43,18 @@ def statistics(plain: DataFrame) -> DataFrame:
     return detect.with_mahalanobis(detect.with_z(logged, m), m)
 
 
+def usable_scores(stats: DataFrame) -> list[str]:
+    """The z-scores that exist, those of columns that vary."""
+    n = stats.agg(*[F.count(c).alias(c) for c in detect.Z_SCORES]).first()
+    return [c for c in detect.Z_SCORES if n[c]]
+
+
 def result_table(features: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """The 44 columns of the analysis result for every vertex; infrastructure accounts have NULL from the flags on."""
-    spark = features.sparkSession
-    from lodeflow.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(features.sparkSession)
     plain = detect.coerce(features.where("is_infra = 0"), ("in_degree", "out_degree", "two_node_loop_count", "triangle_loop_count", "egonet_density"))
     stats = statistics(detect.with_rules(plain)).checkpoint()
-    usable = [c for c in detect.Z_SCORES if stats.where(F.col(c).isNotNull()).limit(1).count()]
+    usable = usable_scores(stats)
     forest = isolation_scores(stats, "node", usable, trees=trees, sample=sample)
     scored = rule_score(stats.join(forest, "node"))
     scored = hazen(hazen(scored.checkpoint(), "mahalanobis_distance", PARTS[1]), "iforest_score", PARTS[2])

@@ -277,8 +277,7 @@ def mahalanobis(spark, d):
 def iforest(spark, d):
     ensure_checkpoint_dir(spark)
     s = score.statistics(_plain(spark, d).checkpoint()).checkpoint()
-    usable = [c for c in detect.Z_SCORES if s.where(F.col(c).isNotNull()).limit(1).count()]
-    return isolation_scores(s, "node", usable)
+    return isolation_scores(s, "node", score.usable_scores(s))
 
 
 _RULE_SCORED = f"{_RULED}, rs AS (SELECT node, address, in_degree, out_degree, greatest(H1_flag, H2_flag, H3_flag, H4_flag) + H5_flag + H6_flag AS rule_score_raw FROM rl), rr AS (SELECT *, CAST(round(rule_score_raw * 100 / 3.0::DOUBLE, 2) AS FLOAT) AS rule_score_100 FROM rs)"
