@@ -102,3 +102,8 @@ def kappa(df: DataFrame, a: str, b: str, share: float = 0.01) -> DataFrame:
     agree = (F.col("n11") + F.col("n00")) / n
     chance = ((F.col("n11") + F.col("n10")) / n) * ((F.col("n11") + F.col("n01")) / n) + ((F.col("n01") + F.col("n00")) / n) * ((F.col("n10") + F.col("n00")) / n)
     return c.where(n > 0).select("n11", "n10", "n01", "n00", F.when(chance < 1, (agree - chance) / (1 - chance)).alias("kappa"))
+
+
+def diagnostics(df: DataFrame, column: str, key: str = "address", k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The distribution of a column (count, mean, deviation, extremes, quartiles), and its k highest rows, ties by key."""
+    return df.select(column).summary(), df.select(key, column).where(F.col(column).isNotNull()).orderBy(F.col(column).desc(), key).limit(k)

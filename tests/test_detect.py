@@ -84,4 +84,6 @@ def test_agreement_measures(spark):
     same = evaluate.top_overlap(df, {"A": "a", "B": "a"}).collect()
     assert all(r.jaccard == 1.0 and r.overlap == 1.0 for r in same) and [r.k for r in same] == [max(1, round(200 * q)) for q in evaluate.SHARES]
     assert {r.n_all for r in evaluate.common_top(df, {"A": "a", "C": "c"}).collect()} == {0}
+    summary, top = evaluate.diagnostics(df, "a", k=3)
+    assert {r.summary: r.a for r in summary.collect()}["max"] == "199.0" and [r.a for r in top.collect()] == [199.0, 198.0, 197.0]
     assert math.isnan(evaluate.t_test_p(0.5, 2) or math.nan)
