@@ -40,7 +40,8 @@ def encode(keys: DataFrame, known: DataFrame | None = None, buckets: int = _BUCK
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     start = F.lit(0).cast("bigint")
     if known is not None:
-        start = F.lit((known.agg(F.max("id")).first()[0] or -1) + 1 if known.limit(1).count() else 0).cast("bigint")
+        last = known.agg(F.max("id")).first()[0]
+        start = F.lit(0 if last is None else last + 1).cast("bigint")
     new = ranked.join(F.broadcast(offsets), "_b").select("key", (F.col("_r") + F.col("_before") + start).cast("bigint").alias("id"))
     return new if known is None else known.select("key", "id").unionByName(new)
 

@@ -113,7 +113,8 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id"
     """key, source, n_tokens, copies (at least 1): what to take.
 
     No document is taken more than its source's cap. Items without a source or
-    of a source without a target are not taken; a cap of NULL is 1. The same
+    of a source without a target are not taken; a cap of NULL is 1, and of
+    several targets of one source one counts. The same
     seed gives the same mixture, however the data is partitioned. key must be unique.
     """
     spark = items.sparkSession

@@ -23,6 +23,8 @@ def test_dictionary_is_dense_and_can_grow(spark):
     known = spark.createDataFrame(one)
     two = {r.key: r.id for r in B.encode(spark.createDataFrame([("k3",), ("new",), ("newer",)], "name string"), known).collect()}
     assert {r.key: r.id for r in one}.items() <= two.items() and {two["new"], two["newer"]} == {502, 503}
+    first = spark.createDataFrame([("a", 0)], "key string, id bigint")
+    assert {r.key: r.id for r in B.encode(spark.createDataFrame([("a",), ("b",)], "name string"), first).collect()} == {"a": 0, "b": 1}
     empty = spark.createDataFrame([], "key string, id bigint")
     assert [r.id for r in B.encode(spark.createDataFrame([("a",)], "name string"), empty).collect()] == [0]
 
