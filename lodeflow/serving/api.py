@@ -139,8 +139,8 @@ class Service:
         return 200, as_csv(rows, out.columns) if fmt == "csv" else rows
 
 
-def serve(service: Service, host: str = "127.0.0.1", port: int = 8000) -> None:
-    """Answer /v1/top, /v1/address and /v1/sql until stopped."""
+def make_server(service: Service, host: str = "127.0.0.1", port: int = 8000):
+    """An HTTP server for /v1/top, /v1/address and /v1/sql."""
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qsl, urlsplit
 
@@ -170,4 +170,12 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 8000) -> None:
                 return self._send(400, {"error": "body isn't JSON"})
             return self._send(*service.post_sql(body, dict(parse_qsl(url.query)).get("format", "json")))
 
-    HTTPServer((host, port), Handler).serve_forever()
+        def log_message(self, *args) -> None:
+            pass
+
+    return HTTPServer((host, port), Handler)
+
+
+def serve(service: Service, host: str = "127.0.0.1", port: int = 8000) -> None:
+    """Answer requests until stopped."""
+    make_server(service, host, port).serve_forever()

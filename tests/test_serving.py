@@ -1,9 +1,13 @@
+import json
+import threading
 from decimal import Decimal
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodeflow.serving.api import Service, wei_to_eth
+from lodeflow.serving.api import Service, make_server, wei_to_eth
 from lodeflow.serving.sqlguard import Refused, check, run_select
 
 
@@ -56,3 +60,19 @@ def test_allowed(spark, month):
     for sql in ("SELECT count(*) AS n FROM t", "SELECT * FROM (SELECT max(in_degree) AS m FROM t) x", "SELECT a.address FROM t a JOIN t b ON a.address = b.address", "SELECT address FROM t WHERE in_degree > (SELECT avg(in_degree) FROM t)"):
         run_select(month, sql).collect()
     assert not [x for x in spark.catalog.listTables() if x.name == "t"]
+
+
+def test_http(service):
+    server = make_server(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert json.load(urlopen(f"{root}/v1/top?chain=ethereum&year=2023&month=1&n=1"))[0]["address"] == "0xAb"
+        body = json.dumps({"chain": "ethereum", "year": 2023, "month": 1, "sql": "SELECT count(*) AS n FROM t"}).encode()
+        assert urlopen(Request(f"{root}/v1/sql?format=csv", body)).read() == b"n\n3\n"
+        for path, data, code in (("/v1/top?year=2023", None, 400), ("/nothing", None, 404), ("/v1/sql", b"{", 400), ("/v1/top?chain=a&year=1&month=1", None, 404)):
+            with pytest.raises(HTTPError) as e:
+                urlopen(Request(root + path, data))
+            assert e.value.code == code
+    finally:
+        server.shutdown()
