@@ -7,8 +7,8 @@ candidates of a document with the same surname, number or street, so that a
 mention in a telling place helps one in a bare place. Marginals come from loopy
 belief propagation; candidates above one half are kept.
 
-The weights are trained where the operator runs: on a sample of documents of
-bounded size, labelled by the few places that are sure (a field named
+Given names and common words are counted over all documents. The weights are
+trained where the operator runs: on a sample of documents of bounded size, labelled by the few places that are sure (a field named
 "holder", "phone" and so on; words too common to be a surname). Parts of the
 features are dropped in turn while training, so that forms and letters learn
 from places and the other way round.
@@ -144,6 +144,30 @@ def harvest(texts: Sequence[str]) -> tuple[frozenset[str], frozenset[str]]:
     return given, frozenset(w for w, n in seen.items() if n >= often and last[w] < 0.1 * n) - given
 
 
+#: A word counts as common from this share of the documents on; a given name needs this share of all sure places. Both bound the lists' lengths.
+COMMON_SHARE, GIVEN_SHARE = 1 / 500, 1 / 20_000
+
+
+def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]]:
+    """What harvest() gives, counted over all documents where they lie."""
+    t = docs.select(F.col(text).alias("t")).where(F.length("t") > 0)
+    n = t.count()
+    if not n:
+        return frozenset(), frozenset()
+    place = r"""(?:\bholder["']?: ?["']?|@author |\bAuthor: |\bReviewed-by: |\b(?:maintainer|owner) = ["']?)(\p{L}[^\n"'<>(;/*@|{}]{4,60})"""
+    who = t.where(F.col("t").rlike("holder|@author|Author: |Reviewed-by: |maintainer|owner")).select(F.explode(F.regexp_extract_all("t", F.lit(place), F.lit(1))).alias("w")).select(F.rtrim(F.btrim("w"), F.lit(".")).alias("w"))
+    after = F.when(F.instr("w", ",") > 0, F.trim(F.regexp_replace("w", "^[^,]*,", ""))).otherwise(F.col("w"))
+    first = who.where(F.instr("w", " ") > 0).select(F.lower(F.substring_index(after, " ", 1)).alias("g")).where(F.col("g").rlike(r"^\p{L}+(?:-\p{L}+)*$") & (F.length("g") > 2)).groupBy("g").agg(F.count("*").alias("n"))
+    sure = first.agg(F.sum("n")).first()[0] or 0
+    given = frozenset(r.g for r in first.where(F.col("n") >= F.lit(1 if n < 1000 else max(2, sure * GIVEN_SHARE))).collect())
+    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+    seen = t.select(F.explode(F.array_distinct(split("t"))).alias("w"), F.lit(1).alias("d"), F.lit(0).alias("s"))
+    last = who.select(F.explode(split("w")).alias("w"), F.lit(0).alias("d"), F.lit(1).alias("s"))
+    counts = seen.unionByName(last).groupBy("w").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+    often = counts.where((F.col("d") >= F.lit(max(5, n * COMMON_SHARE))) & (F.col("s") < 0.1 * F.col("d")))
+    return given, frozenset(r.w for r in often.select("w").collect()) - given
+
+
 def fit_weights(rows: list[tuple[list[str], list[str], int]], rounds: int = 120, ridge: float = 1.0) -> dict[str, float]:
     """Logistic regression over (own features, surroundings, label), with either part dropped in turn."""
     index: dict[str, int] = {}
@@ -217,9 +241,9 @@ def _link_weight(pairs: Counter) -> float:
     return float(np.clip(np.log((same + 1) / (other + 1)), 0.0, 3.0))
 
 
-def train(texts: Sequence[str]) -> Model:
-    """A model from unlabelled texts (an empty one, which keeps nothing but what the forms alone give, if there are none)."""
-    given, common = harvest(texts)
+def train(texts: Sequence[str], words: tuple[frozenset[str], frozenset[str]] | None = None) -> Model:
+    """A model from unlabelled texts (one that goes by forms alone, if there are none). words: given names and common words, else those of the texts."""
+    given, common = harvest(texts) if words is None else words
     model = Model(lexicon=given, common=common)
     rows, docs = [], []
     for t in texts:
@@ -281,7 +305,7 @@ def sample_texts(docs: DataFrame, key: str, text: str, n: int = SAMPLE_DOCS) ->
 
 def find_all(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """key, start_char, end_char, kind: every piece found, by code points. NULL and empty texts have none. Whole texts are read."""
-    model = train(sample_texts(docs, key, text)) if model is None else model
+    model = train(sample_texts(docs, key, text), corpus_words(docs, text)) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{key}` {dict(docs.dtypes)[key]}, start_char int, end_char int, kind string"
 
@@ -296,7 +320,7 @@ def find_all(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Mo
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """key and text with every piece replaced by a placeholder of its kind; all else as it was. NULL stays NULL."""
-    model = train(sample_texts(docs, key, text)) if model is None else model
+    model = train(sample_texts(docs, key, text), corpus_words(docs, text)) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{key}` {dict(docs.dtypes)[key]}, `{text}` string, n_replaced int"
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodeflow.llm.pii import Model, find, find_all, marginals, redact, sample_texts, train
+from lodeflow.llm.pii import Model, corpus_words, find, find_all, harvest, marginals, redact, sample_texts, train
 from lodeflow.llm.pii_patterns import ADDRESS, EMAIL, IDENTITY, NAME, PHONE, candidates
 
 GIVEN = ["Arvo", "Belen", "Cosima", "Dario", "Elke", "Fenno", "Greta", "Hanno", "Iris", "Jori"]
@@ -138,3 +138,10 @@ def test_long_texts_in_linear_time(model, unit):
 def test_no_model_needed_for_candidates():
     assert [c.kind for c in candidates("mail x@y.example", None, frozenset())] == [EMAIL]
     assert isinstance(Model().trie, type(None))
+
+
+def test_corpus_words_are_those_of_all_texts(spark):
+    texts = [t for t, _ in corpus(1200, 8)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, "")], "doc_id bigint, text string")
+    assert corpus_words(df, "text") == harvest(texts)
+    assert corpus_words(df.limit(0), "text") == (frozenset(), frozenset())
