@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm.pii_patterns import ADDRESS, EMAIL, IDENTITY, NAME, PHONE, Candidate, candidates
+from lodeflow.session import ensure_checkpoint_dir
 
 #: Documents the model is fitted on, at most.
 SAMPLE_DOCS = 6000
@@ -156,6 +157,9 @@ def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], frozenset[
         return frozenset(), frozenset()
     place = r"""(?:\bholder["']?: ?["']?|@author |\bAuthor: |\bReviewed-by: |\b(?:maintainer|owner) = ["']?)(\p{L}[^\n"'<>(;/*@|{}]{4,60})"""
     who = t.where(F.col("t").rlike("holder|@author|Author: |Reviewed-by: |maintainer|owner")).select(F.explode(F.regexp_extract_all("t", F.lit(place), F.lit(1))).alias("w")).select(F.rtrim(F.btrim("w"), F.lit(".")).alias("w"))
+    # Kept, as the few names serve three counts and the texts should be searched for them once.
+    ensure_checkpoint_dir(docs.sparkSession)
+    who = who.checkpoint()
     after = F.when(F.instr("w", ",") > 0, F.trim(F.regexp_replace("w", "^[^,]*,", ""))).otherwise(F.col("w"))
     first = who.where(F.instr("w", " ") > 0).select(F.lower(F.substring_index(after, " ", 1)).alias("g")).where(F.col("g").rlike(r"^\p{L}+(?:-\p{L}+)*$") & (F.length("g") > 2)).groupBy("g").agg(F.count("*").alias("n"))
     sure = first.agg(F.sum("n")).first()[0] or 0
