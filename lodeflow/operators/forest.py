@@ -1,16 +1,22 @@
-"""Isolation forest: trees are grown in parallel on seeded samples, rows are scored by all trees at once."""
+"""Isolation forest: trees are grown in parallel on seeded samples, rows are scored by groups of trees."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES, SAMPLE, SEED = 300, 1024, 42
+from lodeflow.session import ensure_checkpoint_dir
+
+#: As in the reference: a tree's sample are all rows up to 100,000.
+TREES, SAMPLE, SEED = 300, 100_000, 42
+#: Nodes of the trees that are sent to the executors at once (18 bytes each).
+GROUP_NODES = 3_000_000
 EULER = 0.5772156649
 
 
@@ -46,6 +52,30 @@ def grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[list[int]
     return feature, split, left, right, path
 
 
+def packed(tree) -> bytes:
+    """A tree's nodes as bytes; an inner node's split and a leaf's path length share a place."""
+    feature, split, left, right, path = (np.array(a) for a in tree)
+    return b"".join((np.where(feature < 0, path, split).astype("<f8").tobytes(), left.astype("<i4").tobytes(), right.astype("<i4").tobytes(), feature.astype("<i2").tobytes()))
+
+
+def unpacked(data: bytes):
+    n = len(data) // 18
+    value = np.frombuffer(data, "<f8", n)
+    return np.frombuffer(data, "<i2", n, 16 * n), value, np.frombuffer(data, "<i4", n, 8 * n), np.frombuffer(data, "<i4", n, 12 * n), value
+
+
+def tree_groups(nodes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """First and last tree of each group of at most `most` nodes (or of one tree), from (tree, nodes) by tree."""
+    out, held = [], 0
+    for tree, n in nodes:
+        if out and held + n <= most:
+            out[-1], held = (out[-1][0], tree), held + n
+        else:
+            out.append((tree, tree))
+            held = n
+    return out
+
+
 def path_lengths(x: np.ndarray, tree) -> np.ndarray:
     feature, split, left, right, path = tree
     at = np.zeros(len(x), dtype=np.int64)
@@ -58,14 +88,15 @@ def path_lengths(x: np.ndarray, tree) -> np.ndarray:
         at[inner] = np.where(x[inner, feature[i]] < split[i], left[i], right[i])
 
 
-def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "iforest_score", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "iforest_score", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, group_nodes: int = GROUP_NODES) -> DataFrame:
     """key and the score: 2^(-mean path / expected path) - 0.5, higher for rows easier to isolate.
 
     Rows with a NULL among the columns have a NULL score; without usable
     columns all scores are 0. A tree's sample are the rows with the smallest
-    hashes of (tree, key), so the result doesn't depend on partitioning. The
-    forest that is sent to the executors holds at most trees * 2 * sample nodes
-    (about 40 bytes each), independent of the table.
+    hashes of (tree, key), so the result doesn't depend on partitioning. Trees
+    are grown in their tasks and kept at a checkpoint; groups of at most
+    group_nodes nodes go to the executors one after the other, each adding its
+    path lengths to the rows, so memory depends on neither table nor sample.
     """
     rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
     whole = rows.dropna(subset=list(columns)) if columns else rows.limit(0)
@@ -84,22 +115,36 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "i
     def train(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("h").head(psi)
         t = grow(g[columns].to_numpy(float), depth, np.random.default_rng([seed, int(g.tree.iat[0])]))
-        return pd.DataFrame({"tree": [int(g.tree.iat[0])], "feature": [t[0]], "split": [t[1]], "left": [t[2]], "right": [t[3]], "path": [t[4]]})
+        return pd.DataFrame({"tree": [int(g.tree.iat[0])], "nodes": [len(t[0])], "data": [packed(t)]})
 
-    grown = sampled.groupBy("tree").applyInPandas(train, "tree int, feature array<int>, split array<double>, left array<int>, right array<int>, path array<double>").collect()
-    forest = [tuple(np.array(a) for a in (r.feature, r.split, r.left, r.right, r.path)) for r in sorted(grown, key=lambda r: r.tree)]
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    ensure_checkpoint_dir(df.sparkSession)
+    grown = sampled.groupBy("tree").applyInPandas(train, "tree int, nodes int, data binary").checkpoint()
+    sizes = sorted((r.tree, r.nodes) for r in grown.select("tree", "nodes").collect())
     norm = float(expected_path(np.array([psi]))[0]) or 1.0
-    types = dict(df.dtypes)
-
-    def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b[columns].to_numpy(float)
-            known = ~np.isnan(x).any(axis=1)
-            s = np.full(len(b), np.nan)
-            if known.any():
-                mean = sum(path_lengths(x[known], t) for t in shared.value) / len(shared.value)
-                s[known] = 2.0 ** (-mean / norm) - 0.5
-            yield pd.DataFrame({key: b[key], name: pd.array([None if np.isnan(v) else v for v in s], dtype="Float64")})
-
-    return rows.mapInPandas(score, f"`{key}` {types[key]}, {name} double")
+    names = [key, *columns, "_path"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", _path double"
+
+    def adder(shared):
+        def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            forest = [unpacked(t) for t in shared.value]
+            for b in batches:
+                x = b[columns].to_numpy(float)
+                known = ~np.isnan(x).any(axis=1)
+                total = b["_path"].to_numpy(float, copy=True)
+                if known.any():
+                    total[known] += sum(path_lengths(x[known], t) for t in forest)
+                yield b.assign(_path=total)[names]
+
+        return add
+
+    scored = rows.withColumn("_path", F.lit(0.0))
+    held = None
+    for first, last in tree_groups(sizes, group_nodes):
+        if held is not None:
+            scored = scored.checkpoint()
+            held.unpersist()
+        held = df.sparkSession.sparkContext.broadcast([bytes(r.data) for r in grown.where(F.col("tree").between(first, last)).orderBy("tree").collect()])
+        scored = scored.mapInPandas(adder(held), schema)
+    whole_row = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
+    mean = F.col("_path") / F.lit(float(len(sizes)))
+    return scored.select(key, F.when(whole_row, F.pow(F.lit(2.0), -mean / F.lit(norm)) - 0.5).alias(name))

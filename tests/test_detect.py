@@ -87,3 +87,14 @@ def test_agreement_measures(spark):
     summary, top = evaluate.diagnostics(df, "a", k=3)
     assert {r.summary: r.a for r in summary.collect()}["max"] == "199.0" and [r.a for r in top.collect()] == [199.0, 198.0, 197.0]
     assert math.isnan(evaluate.t_test_p(0.5, 2) or math.nan)
+
+
+def test_forest_takes_every_row_up_to_the_reference_sample(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(1500, 2)))], "node bigint, a double, b double")
+    run = lambda **k: {r.node: r.iforest_score for r in isolation_scores(df, "node", ["a", "b"], trees=8, **k).collect()}
+    default = run()
+    assert default == run(sample=100_000) and default != run(sample=1024)
+    # Groups of a few trees give the same sums as all trees at once.
+    grouped = run(group_nodes=4000)
+    assert all(grouped[k] == pytest.approx(v, abs=1e-12) for k, v in default.items())
