@@ -19,15 +19,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeflow.llm.pii_patterns import ADDRESS, EMAIL, IDENTITY, NAME, PHONE, Candidate, candidates
+from lodeflow.llm.pii_patterns import ADDRESS, EMAIL, IDENTITY, NAME, PHONE, Candidate, candidates, tokens
 from lodeflow.session import ensure_checkpoint_dir
 
 #: Documents the model is fitted on, at most.
@@ -58,6 +58,8 @@ class Model:
     lexicon: frozenset[str] = frozenset()
     weights: dict[str, float] = field(default_factory=dict)
     common: frozenset[str] = frozenset()
+    #: How often each given name stands in a sure place.
+    counts: Mapping[str, int] = field(default_factory=dict)
     chain: float = 0.0
     skip: float = 0.0
     _trie: object = None
@@ -101,6 +103,11 @@ def features(text: str, c: Candidate, model: Model) -> tuple[list[str], list[str
             own += [k + "common", f"{k}common={c.form}"]
         own.append(f"{k}parts={min(shown.count(' '), 3)}")
     before, after = _line(text, c)
+    if c.given and model.counts:
+        # Sure places besides the candidate's own, else a rare name would always be one of a sure place.
+        elsewhere = max(0, model.counts.get(c.given, 0) - bool(SURE[NAME].search(before)))
+        if elsewhere < 8:
+            own.append(f"{k}rare={elsewhere.bit_length()}")
     left = [_mask(w) for w in _WORD.findall(before)[-3:]]
     right = [_mask(w) for w in _WORD.findall(after)[:2]]
     left = ["^"] * (3 - len(left)) + left
@@ -125,8 +132,8 @@ def sure_label(text: str, c: Candidate, model: Model) -> int | None:
     return None
 
 
-def harvest(texts: Sequence[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """Given names, from sure places; and words too common to be surnames, from all documents."""
+def harvest_counts(texts: Sequence[str]) -> tuple[dict[str, int], frozenset[str]]:
+    """Given names and how often they stand in sure places; and words too common to be surnames, from all documents."""
     first, seen, last = Counter(), Counter(), Counter()
     place = re.compile(r"(?:\bholder[\"']?: ?[\"']?|@author |\bAuthor: |\bReviewed-by: |\b(?:maintainer|owner) = [\"']?)([^\W\d_][^\n\"'<>(;/*@|{}]{4,60})")
     for t in texts:
@@ -140,36 +147,48 @@ def harvest(texts: Sequence[str]) -> tuple[frozenset[str], frozenset[str]]:
                 first[w] += 1
         seen.update({w.lower() for w in _LETTERS.findall(t)})
     often = max(5, len(texts) // 500)
-    given = frozenset(w for w, n in first.items() if n >= 2 or len(texts) < 1000)
     # A frequent word that often stands where names stand may be a surname after all.
-    return given, frozenset(w for w, n in seen.items() if n >= often and last[w] < 0.1 * n) - given
+    return dict(first), frozenset(w for w, n in seen.items() if n >= often and last[w] < 0.1 * n) - first.keys()
 
 
-#: A word counts as common from this share of the documents on; a given name needs this share of all sure places. Both bound the lists' lengths.
-COMMON_SHARE, GIVEN_SHARE = 1 / 500, 1 / 20_000
+def harvest(texts: Sequence[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Given names, from sure places; and words too common to be surnames, from all documents."""
+    first, common = harvest_counts(texts)
+    return frozenset(first), common
 
 
-def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]]:
-    """What harvest() gives, counted over all documents where they lie."""
+#: A word counts as common from this share of the documents on, which bounds the list's length. A given name counts from its first sure place on, in a corpus of any size.
+COMMON_SHARE = 1 / 500
+#: Given names that are sent to the executors as a whole, at most; a longer list is joined to the words of the texts.
+GIVEN_BROADCAST = 200_000
+
+
+def corpus_tables(docs: DataFrame, text: str) -> tuple[DataFrame, frozenset[str]]:
+    """What harvest_counts() gives, counted over all documents where they lie; the given names as a table of g and n."""
+    spark = docs.sparkSession
     t = docs.select(F.col(text).alias("t")).where(F.length("t") > 0)
     n = t.count()
     if not n:
-        return frozenset(), frozenset()
+        return spark.createDataFrame([], "g string, n bigint"), frozenset()
     place = r"""(?:\bholder["']?: ?["']?|@author |\bAuthor: |\bReviewed-by: |\b(?:maintainer|owner) = ["']?)(\p{L}[^\n"'<>(;/*@|{}]{4,60})"""
     who = t.where(F.col("t").rlike("holder|@author|Author: |Reviewed-by: |maintainer|owner")).select(F.explode(F.regexp_extract_all("t", F.lit(place), F.lit(1))).alias("w")).select(F.rtrim(F.btrim("w"), F.lit(".")).alias("w"))
     # Kept, as the few names serve three counts and the texts should be searched for them once.
-    ensure_checkpoint_dir(docs.sparkSession)
+    ensure_checkpoint_dir(spark)
     who = who.checkpoint()
     after = F.when(F.instr("w", ",") > 0, F.trim(F.regexp_replace("w", "^[^,]*,", ""))).otherwise(F.col("w"))
-    first = who.where(F.instr("w", " ") > 0).select(F.lower(F.substring_index(after, " ", 1)).alias("g")).where(F.col("g").rlike(r"^\p{L}+(?:-\p{L}+)*$") & (F.length("g") > 2)).groupBy("g").agg(F.count("*").alias("n"))
-    sure = first.agg(F.sum("n")).first()[0] or 0
-    given = frozenset(r.g for r in first.where(F.col("n") >= F.lit(1 if n < 1000 else max(2, sure * GIVEN_SHARE))).collect())
+    first = who.where(F.instr("w", " ") > 0).select(F.lower(F.substring_index(after, " ", 1)).alias("g")).where(F.col("g").rlike(r"^\p{L}+(?:-\p{L}+)*$") & (F.length("g") > 2)).groupBy("g").agg(F.count("*").alias("n")).checkpoint()
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
     seen = t.select(F.explode(F.array_distinct(split("t"))).alias("w"), F.lit(1).alias("d"), F.lit(0).alias("s"))
     last = who.select(F.explode(split("w")).alias("w"), F.lit(0).alias("d"), F.lit(1).alias("s"))
     counts = seen.unionByName(last).groupBy("w").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
     often = counts.where((F.col("d") >= F.lit(max(5, n * COMMON_SHARE))) & (F.col("s") < 0.1 * F.col("d")))
-    return given, frozenset(r.w for r in often.select("w").collect()) - given
+    return first, frozenset(r.w for r in often.join(first, F.col("w") == F.col("g"), "left_anti").select("w").collect())
+
+
+def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]]:
+    """What harvest() gives, counted over all documents where they lie."""
+    given, common = corpus_tables(docs, text)
+    return frozenset(r.g for r in given.select("g").collect()), common
 
 
 def fit_weights(rows: list[tuple[list[str], list[str], int]], rounds: int = 120, ridge: float = 1.0) -> dict[str, float]:
@@ -245,10 +264,10 @@ def _link_weight(pairs: Counter) -> float:
     return float(np.clip(np.log((same + 1) / (other + 1)), 0.0, 3.0))
 
 
-def train(texts: Sequence[str], words: tuple[frozenset[str], frozenset[str]] | None = None) -> Model:
-    """A model from unlabelled texts (one that goes by forms alone, if there are none). words: given names and common words, else those of the texts."""
-    given, common = harvest(texts) if words is None else words
-    model = Model(lexicon=given, common=common)
+def train(texts: Sequence[str], words: tuple[Mapping[str, int], frozenset[str]] | None = None) -> Model:
+    """A model from unlabelled texts (one that goes by forms alone, if there are none). words: given names with their counts and common words, else those of the texts."""
+    given, common = harvest_counts(texts) if words is None else words
+    model = Model(lexicon=frozenset(given), common=common, counts=given)
     rows, docs = [], []
     for t in texts:
         found = candidates(t, model.trie, model.lexicon)
@@ -307,24 +326,67 @@ def sample_texts(docs: DataFrame, key: str, text: str, n: int = SAMPLE_DOCS) ->
     return [r[0] for r in chosen.select(text).orderBy(F.xxhash64(text)).limit(n).collect()]
 
 
+def fitted(docs: DataFrame, key: str, text: str, most: int | None = None) -> tuple[Model, DataFrame | None]:
+    """A model of the documents; and the table of given names, where they are more than `most` and the model has those of the sample only."""
+    texts = sample_texts(docs, key, text)
+    given, common = corpus_tables(docs, text)
+    long = given.count() > (GIVEN_BROADCAST if most is None else most)
+    mine = given
+    if long:
+        words = docs.sparkSession.createDataFrame(pd.DataFrame({"g": sorted({w for t in texts for w in tokens(t)})}, dtype=str), "g string")
+        mine = given.join(words, "g", "left_semi")
+    return train(texts, ({r.g: r.n for r in mine.collect()}, common)), given if long else None
+
+
+def with_given(docs: DataFrame, text: str, given: DataFrame | None) -> DataFrame:
+    """docs with _given: the given names among the words of each text, by a join; NULL without a table of names. Equal texts share their words."""
+    kind = "array<struct<g:string,n:bigint>>"
+    if given is None:
+        return docs.withColumn("_given", F.lit(None).cast(kind))
+    at = {"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit("given"), text)}
+
+    def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple[int, int, str]] = []
+            for x, y, t in zip(b["_a"], b["_b"], b["_t"], strict=True):
+                out += [(x, y, w) for w in sorted(tokens(t))]
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=["_a", "_b", "g"])
+                    out = []
+            yield pd.DataFrame(out, columns=["_a", "_b", "g"])
+
+    words = docs.where(F.length(text) > 0).select(*[c.alias(k) for k, c in at.items()], F.col(text).alias("_t")).mapInPandas(split, "_a bigint, _b bigint, g string")
+    held = words.join(given, "g").groupBy("_a", "_b").agg(F.collect_set(F.struct("g", "n")).alias("_given"))
+    # An empty list, not NULL, for a text without given names.
+    return docs.withColumns(at).join(held, ["_a", "_b"], "left").withColumn("_given", F.coalesce("_given", F.array().cast(kind))).drop("_a", "_b")
+
+
+def _model_of(m: Model, given) -> Model:
+    """The model with the given names of one text, if they came by a join."""
+    if given is None:
+        return m
+    counts = {x["g"]: x["n"] for x in given}
+    return replace(m, lexicon=frozenset(counts), counts=counts, _trie=None)
+
+
 def find_all(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """key, start_char, end_char, kind: every piece found, by code points. NULL and empty texts have none. Whole texts are read."""
-    model = train(sample_texts(docs, key, text), corpus_words(docs, text)) if model is None else model
+    model, given = fitted(docs, key, text) if model is None else (model, None)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{key}` {dict(docs.dtypes)[key]}, start_char int, end_char int, kind string"
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            rows = [(k, c.start, c.end, c.kind) for k, t in zip(b[key], b[text], strict=True) for c in find(t, m)]
+            rows = [(k, c.start, c.end, c.kind) for k, t, g in zip(b[key], b[text], b["_given"], strict=True) for c in find(t, _model_of(m, g))]
             yield pd.DataFrame(rows, columns=[key, "start_char", "end_char", "kind"])
 
-    return docs.where(F.length(text) > 0).select(key, text).mapInPandas(run, schema)
+    return with_given(docs.where(F.length(text) > 0).select(key, text), text, given).mapInPandas(run, schema)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """key and text with every piece replaced by a placeholder of its kind; all else as it was. NULL stays NULL."""
-    model = train(sample_texts(docs, key, text), corpus_words(docs, text)) if model is None else model
+    model, given = fitted(docs, key, text) if model is None else (model, None)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{key}` {dict(docs.dtypes)[key]}, `{text}` string, n_replaced int"
 
@@ -338,7 +400,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Mode
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            done = [clean(t, m) for t in b[text]]
+            done = [clean(t, _model_of(m, g)) for t, g in zip(b[text], b["_given"], strict=True)]
             yield pd.DataFrame({key: b[key], text: [x for x, _ in done], "n_replaced": [n for _, n in done]})
 
-    return docs.select(key, text).mapInPandas(run, schema)
+    return with_given(docs.select(key, text), text, given).mapInPandas(run, schema)

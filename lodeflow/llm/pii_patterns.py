@@ -64,6 +64,7 @@ _FIRST_RE = re.compile(r"(?<=\. )(?=[^\W\d_])")
 _INITIALS_BEFORE_RE = re.compile(r"(?<![\w.@-])(?<!\w['’])(?:[^\W\d_]\. ?){0,2}[^\W\d_]\. $")
 _FIRST_SUR_RE = re.compile(rf"({_SUR})(?![\w@(=])", re.IGNORECASE)
 _LAST_INITIALS_RE = re.compile(r", [^\W\d_a-zà-ÿ]\.(?: [^\W\d_a-zà-ÿ]\.)?(?![\w.])")
+_TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _WORD_CHAR = re.compile(r"[\w@]")
 
 
@@ -74,6 +75,7 @@ class Candidate:
     kind: str
     form: str
     core: str  #: surname, digits or street: what repeats when the same thing is named again
+    given: str = ""  #: the given name, in lower case
 
 
 def lowered(text: str) -> str:
@@ -82,6 +84,16 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def tokens(text: str) -> set[str]:
+    """The words of a text that may be given names, in lower case: letters with hyphens, whole and up to each hyphen."""
+    out = set()
+    for w in set(_TOKEN.findall(lowered(text))):
+        parts = w.split("-")
+        out.update("-".join(parts[: i + 1]) for i in range(min(len(parts), 8)))
+        out.add(w)
+    return out
+
+
 def emails(text: str) -> list[Candidate]:
     if not _EMAIL_HINT.search(text):
         return []
@@ -135,10 +147,10 @@ def names(text: str, low: str, given, lexicon: frozenset[str]) -> list[Candidate
                 if follow or before:
                     at, more = m.end(), True
         if before and before[1].lower() not in lexicon:
-            out.append(Candidate(before.start(), at, NAME, "reversed", before[1].lower()))
+            out.append(Candidate(before.start(), at, NAME, "reversed", before[1].lower(), word))
         m = _SUR_RE.match(text, at)
         if m:
-            out.append(Candidate(start, m.end(), NAME, "given", m[1].lower()))
+            out.append(Candidate(start, m.end(), NAME, "given", m[1].lower(), word))
             until = m.end()
         else:
             until = at

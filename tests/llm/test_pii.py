@@ -145,3 +145,18 @@ def test_corpus_words_are_those_of_all_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, "")], "doc_id bigint, text string")
     assert corpus_words(df, "text") == harvest(texts)
     assert corpus_words(df.limit(0), "text") == (frozenset(), frozenset())
+
+
+def test_a_rare_given_name_counts_in_a_large_corpus(spark):
+    texts = [t for t, _ in corpus(1200, 8)] + ["// Author: Quillon Karlund\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert "quillon" in corpus_words(df, "text")[0] and "quillon" in harvest(texts)[0]
+
+
+def test_a_long_list_of_given_names_is_joined(spark, monkeypatch):
+    texts = [t for t, _ in corpus(300, 9)] + ["nothing here", "", None]
+    df = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    run = lambda: (sorted(map(tuple, find_all(df).collect()), key=str), sorted(map(tuple, redact(df).collect()), key=str))
+    whole = run()
+    monkeypatch.setattr("lodeflow.llm.pii.GIVEN_BROADCAST", 2)
+    assert run() == whole and whole[0]
