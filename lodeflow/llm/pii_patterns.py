@@ -39,20 +39,25 @@ NUMBER_FORMS = {
 NUMBER_RE = re.compile(r"(?=[\d+(A-Z])(?<![\w.+\-/#@$%&])(?=[+(]?[A-Z]{0,2} ?\d)(?:" + "|".join(f"(?P<{k}>{p})" for k, (_, p) in NUMBER_FORMS.items()) + r")(?![\w@]|[-./:]\d)")
 
 _STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Terrace|Row|Way|Blvd|Boulevard|Place|Pl|Square|Sq|Close|Gardens|Crescent|Hill|Grove|Mews|Parade|Highway|Parkway|Walk|Quay"
+_FRENCH = "rue|avenue|boulevard|place|chemin|impasse|all[ée]e|quai|cours|route"
+_SPANISH = r"Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Carrera|Via|Viale|Rua"
+_GERMAN = r"straße|strasse|str\.|weg|platz|allee|gasse|damm|ufer|laan|straat|gracht|plein|gatan|vägen|vej"
+_AM = "Am|An der|Im|Zum|Zur|Auf dem|Unter den"
 _WORD = r"[A-ZÀ-Þ][\wÀ-ÿ'’-]+"
 _NO = r"\d{1,5}[A-Za-z]?"
 _UNIT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite|Room|Floor)\.? ?\d{1,4}[A-Za-z]?,? )?"
 #: Written forms of street addresses up to the street or house number, and what may follow on the line.
 ADDRESS_FORMS = {
     "english": rf"{_UNIT}{_NO} (?:{_WORD} ){{1,3}}?(?:{_STREETS})\b\.?",
-    "french": rf"{_UNIT}\d{{1,4}}(?: ?bis| ?ter|[a-z])?,? (?:rue|avenue|boulevard|place|chemin|impasse|all[ée]e|quai|cours|route)(?: (?:de la|de l['’]|des|du|de|d['’]))? ?[\wÀ-ÿ'’-]+",
-    "spanish": rf"(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Carrera|Via|Viale|Rua) (?:(?:de|del|la|las|los) )*{_WORD}(?: {_WORD})?,? \d{{1,4}}[a-z]?",
-    "german": rf"[A-ZÀ-Þ][\wÀ-ÿ-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|damm|ufer|laan|straat|gracht|plein|gatan|vägen|vej) {_NO}",
-    "am": rf"(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den) {_WORD} {_NO}",
+    "french": rf"{_UNIT}\d{{1,4}}(?: ?bis| ?ter|[a-z])?,? (?:{_FRENCH})(?: (?:de la|de l['’]|des|du|de|d['’]))? ?[\wÀ-ÿ'’-]+",
+    "spanish": rf"(?:{_SPANISH}) (?:(?:de|del|la|las|los) )*{_WORD}(?: {_WORD})?,? \d{{1,4}}[a-z]?",
+    "german": rf"[A-ZÀ-Þ][\wÀ-ÿ-]*(?:{_GERMAN}) {_NO}",
+    "am": rf"(?:{_AM}) {_WORD} {_NO}",
 }
 _AFTER = rf"(?:,? (?:Apt|Apartment|Unit|Suite|Flat|Floor)\.? ?\d{{1,4}}[A-Za-z]?|, \d{{1,2}}[ºª°](?: [A-Z])?|, \d{{4,6}} {_WORD}(?: (?:{_WORD}|am|an|sur|der))*|, {_WORD}(?: (?:{_WORD}|am|an|sur|der))*(?: \d{{4,6}})?| \d{{5}})"
 ADDRESS_RE = re.compile(r"(?<![\w.,/-])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in ADDRESS_FORMS.items()) + rf")(?P<rest>{_AFTER}*)")
-_ADDRESS_HINT = re.compile(r"\b(?:" + _STREETS + r"|rue|avenue|boulevard|place|chemin|impasse|quai|Calle|Avenida|Plaza|Paseo|Camino|Am|Im|Zum|Zur|Via|Rua)\b|(?:straße|strasse|str\.|weg|platz|allee|laan|straat|gasse) \d")
+#: A part of every form, of the same words: a text without it has no address.
+_ADDRESS_HINT = re.compile(rf"\b(?:{_STREETS})\b|\d(?: ?bis| ?ter|[a-z])?,? (?:{_FRENCH})|\b(?:{_SPANISH}) |(?:{_GERMAN}) \d|\b(?:{_AM}) [A-ZÀ-Þ]")
 
 PARTICLES = r"(?:(?:de|di|da|del|von|van|der|den|al|el|la|le|bin|ibn|zu|af)[ -])"
 _SUR = rf"{PARTICLES}*[^\W\d_][^\W\d_'’]{{2,24}}(?:-[^\W\d_]{{2,24}}){{0,2}}"

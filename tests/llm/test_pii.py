@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodeflow.llm import pii_patterns as patterns
 from lodeflow.llm.pii import Model, corpus_words, find, find_all, harvest, marginals, redact, sample_texts, train
 from lodeflow.llm.pii_patterns import ADDRESS, EMAIL, IDENTITY, NAME, PHONE, candidates
 
@@ -160,3 +161,11 @@ def test_a_long_list_of_given_names_is_joined(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr("lodeflow.llm.pii.GIVEN_BROADCAST", 2)
     assert run() == whole and whole[0]
+
+
+@pytest.mark.parametrize("text", [
+    *[f"12 Long {w}" for w in patterns._STREETS.split("|")], *[f"12 {w} des Tilleuls" for w in patterns._FRENCH.replace("all[ée]e", "allée|allee").split("|")], "7 bis, cours Mirabeau",
+    *[f"{w} Mayor, 5" for w in patterns._SPANISH.replace("\\", "").split("|")], *[f"Stor{w} 12" for w in patterns._GERMAN.replace("\\", "").split("|")], *[f"{w} Linden 5" for w in patterns._AM.split("|")],
+])
+def test_every_form_of_address_alone(text):
+    assert [(c.kind, c.start, c.end) for c in candidates(text, None, frozenset()) if c.kind == ADDRESS] == [(ADDRESS, 0, len(text))]
