@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodeflow.schemas import RULES
 from lodeflow.serving.sqlguard import Refused, run_select
 
-#: Rows of an answer, at most.
+#: Rows of an answer, at most; a longer one is refused, never cut.
 MAX_ROWS = 100_000
 UNITS = {"amounts": "ether (ETH)", "egonet_density": "0–1", "degree": "count", "scores": "0–100"}
 
@@ -73,10 +73,20 @@ def profile(df: DataFrame, chain: str, year: int, month: int, address: str) -> d
     }
 
 
+class TooLong(ValueError):
+    """An answer has more rows than MAX_ROWS."""
+
+    def __init__(self) -> None:
+        super().__init__(f"the answer has more than {MAX_ROWS} rows; narrow it or add a LIMIT")
+
+
 def records(df: DataFrame, digits: int = 6) -> list[dict]:
-    """A bounded result as JSON-ready records."""
+    """A whole result as JSON-ready records; TooLong if it is above the bound."""
     plain = lambda v: round(v, digits) if isinstance(v, float) else int(v) if isinstance(v, Decimal) and v == v.to_integral_value() else float(v) if isinstance(v, Decimal) else v
-    return [{k: plain(v) for k, v in r.asDict().items()} for r in df.limit(MAX_ROWS).collect()]
+    rows = df.limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise TooLong
+    return [{k: plain(v) for k, v in r.asDict().items()} for r in rows]
 
 
 def as_csv(rows: list[dict], columns: list[str]) -> str:
@@ -112,7 +122,10 @@ class Service:
             return 400, {"error": bad or "invalid n"}
         if df is None:
             return 404, {"error": "no data for this month"}
-        return 200, records(top(df, min(k, MAX_ROWS)), 1)
+        try:
+            return 200, records(top(df, min(k, 2**31 - 1)), 1)
+        except TooLong as e:
+            return 413, {"error": str(e)}
 
     def get_address(self, chain=None, year=None, month=None, addr="") -> tuple[int, object]:
         df, bad = self._month(chain, year, month)
@@ -132,6 +145,8 @@ class Service:
         try:
             out = run_select(df, body["sql"])
             rows = records(out)
+        except TooLong as e:
+            return 413, {"error": str(e)}
         except Refused as e:
             return 400, {"error": str(e)}
         except Exception as e:  # the statement's own error is the caller's

@@ -76,3 +76,13 @@ def test_http(service):
             assert e.value.code == code
     finally:
         server.shutdown()
+
+
+def test_long_answers_are_refused_not_cut(service, monkeypatch):
+    body = {"chain": "ethereum", "year": 2023, "month": 1, "sql": "SELECT address FROM t"}
+    monkeypatch.setattr("lodeflow.serving.api.MAX_ROWS", 3)
+    assert len(service.post_sql(body)[1]) == 3 and len(service.get_top("ethereum", "2023", "1", "9" * 12)[1]) == 3
+    monkeypatch.setattr("lodeflow.serving.api.MAX_ROWS", 2)
+    for code, answer in (service.post_sql(body), service.post_sql(body, "csv"), service.get_top("ethereum", "2023", "1", "3")):
+        assert code == 413 and "more than 2 rows" in answer["error"]
+    assert len(service.post_sql(body | {"sql": "SELECT address FROM t LIMIT 2"})[1]) == 2 and len(service.get_top("ethereum", "2023", "1", "2")[1]) == 2
