@@ -82,6 +82,12 @@ def words(name: str) -> frozenset[str]:
     return frozenset(content or known)
 
 
+@functools.cache
+def spelling(path: str) -> str:
+    """What all spellings of a key outside the header share: its meaning-bearing words."""
+    return " ".join(sorted(words(path.rsplit(".", 1)[-1])))
+
+
 @functools.cache
 def _vocabulary() -> frozenset[str]:
     return frozenset(w for f in BLOCK_FIELDS for w in words(f))
@@ -202,12 +208,12 @@ def _scripts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for feed, seq, nodes in zip(b.feed, b.file_seq, b.nodes, strict=True):
             shapes = tuple(sorted((x["path"], x["shape"]) for x in nodes))
             script = _script(shapes)
-            out += [(feed, seq, x["path"], script.get(x["path"], x["path"]), x["path"] in script, x["form"]) for x in nodes]
-        yield pd.DataFrame(out, columns=["feed", "file_seq", "path", "field", "in_target", "form"])
+            out += [(feed, seq, x["path"], script.get(x["path"], x["path"]), x["path"] in script, x["form"], spelling(x["path"])) for x in nodes]
+        yield pd.DataFrame(out, columns=["feed", "file_seq", "path", "field", "in_target", "form", "spelling"])
 
 
 def file_fields(records: DataFrame) -> DataFrame:
-    """feed, file_seq, path, field, in_target, form: each file's fields, named as in the target, with their usual form.
+    """feed, file_seq, path, field, in_target, form, spelling: each file's fields, named as in the target, with their usual form.
 
     records: feed, file_seq, record (a JSON object; others are ignored). A record
     that is no JSON object adds no field. The form is the most frequent one of
@@ -220,7 +226,7 @@ def file_fields(records: DataFrame) -> DataFrame:
     fields = by_form.groupBy("feed", "file_seq", "path").agg(best.alias("_b"))
     node = F.struct("path", F.col("_b.form").alias("form"), F.coalesce("_b.shape", F.lit("other")).alias("shape"))
     schemas = fields.groupBy("feed", "file_seq").agg(F.collect_list(node).alias("nodes"))
-    return schemas.mapInPandas(_scripts, "feed string, file_seq bigint, path string, field string, in_target boolean, form string")
+    return schemas.mapInPandas(_scripts, "feed string, file_seq bigint, path string, field string, in_target boolean, form string, spelling string")
 
 
 def changes(records: DataFrame) -> DataFrame:
@@ -229,19 +235,25 @@ def changes(records: DataFrame) -> DataFrame:
     change: added, removed, renamed, retyped. The first file of a feed has none.
     A file without any readable record still counts as a file (all its fields
     are removed). A file in which a field is NULL throughout leaves its form as
-    it was; after an absence the form starts anew.
+    it was; after an absence the form starts anew. A key outside the target is
+    renamed if the feed's files spell the same words otherwise, unless one of
+    them has two such keys side by side.
     """
-    fields = file_fields(records)
+    of_words = Window.partitionBy("feed", "in_target", "spelling")
+    beside = F.max(F.col("_twin")).over(of_words)
+    thing = F.when(F.col("in_target"), F.concat(F.lit("="), "field")).when((F.col("spelling") != "") & ~beside, F.concat(F.lit("~"), "spelling")).otherwise(F.concat(F.lit("-"), "path"))
+    twin = F.coalesce(F.lag("file_seq").over(of_words.orderBy("file_seq")) == F.col("file_seq"), F.lit(False))
+    fields = file_fields(records).withColumn("_twin", twin).withColumn("_thing", thing)
     in_feed = Window.partitionBy("feed").orderBy("file_seq")
     files = records.select("feed", "file_seq").distinct().select("*", F.lag("file_seq").over(in_feed).alias("_before"), F.lead("file_seq").over(in_feed).alias("_after"))
-    of_field = Window.partitionBy("feed", "field").orderBy("file_seq")
+    of_field = Window.partitionBy("feed", "_thing").orderBy("file_seq")
     rows = fields.join(files, ["feed", "file_seq"]).select(
-        "feed", "file_seq", "field", "path", "form", "_before", "_after",
+        "feed", "file_seq", "field", "_thing", "path", "form", "_before", "_after",
         F.lag("file_seq").over(of_field).alias("_last"), F.lead("file_seq").over(of_field).alias("_next"), F.lag("path").over(of_field).alias("_path"),
     )
     goes_on = F.col("_last").isNotNull() & F.col("_before").isNotNull() & (F.col("_last") == F.col("_before"))
     rows = rows.withColumn("_goes_on", goes_on).withColumn("_run", F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(of_field.rowsBetween(Window.unboundedPreceding, 0)))
-    in_run = Window.partitionBy("feed", "field", "_run").orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)
+    in_run = Window.partitionBy("feed", "_thing", "_run").orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_form", F.last("form", ignorenulls=True).over(in_run))
 
     def when(cond: Column, seq: str, change: str) -> Column:

@@ -83,3 +83,18 @@ def test_names_of_other_quantities_stay():
     assert edit_script(nodes) == {}
     assert edit_script((("td_binary", "other"), ("prev_randao", "other"), ("fee_recipient", "address"))) == {"td_binary": "total_difficulty_binary", "prev_randao": "mix_hash", "fee_recipient": "author"}
     assert len(BLOCK_FIELDS) == 23
+
+
+def test_a_key_outside_the_header_is_renamed(spark):
+    files = [
+        (1, [{"excess_blob_gas": 1, "blob_gas_used": 2}]),
+        (2, [{"excessBlobGas": None, "blob_gas_used": 2}]),
+        (3, [{"ExcessBlobGas": "0x1", "blobTag": 1}]),
+        (4, [{"blobTag": 1, "shardHint": 1, "shard_hint": 2}]),
+        (5, [{"blobTag": 1, "shard_hint": 2}]),
+    ]
+    got = {(x.file_seq, x.field, x.change) for x in changes(frame(spark, files)).collect()}
+    assert got == {
+        (2, "excessBlobGas", "renamed"), (3, "ExcessBlobGas", "renamed"), (3, "ExcessBlobGas", "retyped"), (3, "blob_gas_used", "removed"), (3, "blobTag", "added"),
+        (4, "ExcessBlobGas", "removed"), (4, "shardHint", "added"), (4, "shard_hint", "added"), (5, "shardHint", "removed"),
+    }
