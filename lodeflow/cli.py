@@ -37,6 +37,7 @@ def run_abstract(spark: SparkSession, root: str, at: tuple) -> None:
 def run_graph(spark: SparkSession, root: str, at: tuple) -> None:
     tables = [read_table(spark, month_path(root, f"abstract/{n}", *at)) for n in ("token_transfer", "transaction", "block")]
     edgelist.unmatched(*tables).show()
+    edgelist.overflows(tables[0]).show()
     pairs_at = month_path(root, "graph/pairs", *at)
     write_table(graph.aggregate_edges(edgelist.filter_edges(edgelist.edgelist(*tables))), pairs_at)
     write_table(graph.number_vertices(read_table(spark, pairs_at)), month_path(root, "graph/vertices", *at))

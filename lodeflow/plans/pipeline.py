@@ -129,6 +129,15 @@ def edgelist_unmatched(spark, d):
     return edgelist.unmatched(*_ledger(spark, d))
 
 
+_LOST = "TRY_CAST(amount AS DECIMAL(38,0)) IS NULL"
+_BEYOND = "coalesce(TRY_CAST(amount AS DOUBLE) >= 1e38 AND NOT isnan(TRY_CAST(amount AS DOUBLE)), false)"
+
+
+@query(f"SELECT count(*) AS n_rows, count(*) FILTER ({_LOST} AND {_BEYOND}) AS amount_overflow, count(*) FILTER ({_LOST} AND NOT {_BEYOND}) AS without_amount FROM abstract_token_transfer")
+def edgelist_overflows(spark, d):
+    return edgelist.overflows(table(spark, d, "abstract_token_transfer"))
+
+
 @query(f"WITH {N.NETWORK_SQL} SELECT transfer_sid, f AS from_address_sid, t AS to_address_sid, CAST(amount AS HUGEINT) AS amount, '1_native' AS token_sid, tx_sid, CAST(ts AS BIGINT) AS \"timestamp\" FROM el", ("amount",))
 def edgelist_filtered(spark, d):
     return N.filtered_edges(spark, d)

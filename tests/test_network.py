@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lodeflow.operators import features, graph
+from lodeflow.operators import edgelist, features, graph
 from lodeflow.operators.order import average_rank, running_total
 from lodeflow.plans import network as N
 
@@ -101,3 +101,10 @@ def test_running_total_and_ranks(spark):
 def test_empty_graph(spark, infra):
     v, e, ids = build(spark, [], infra)
     assert ids == {} and features.assemble(v, e, 2023, 1).count() == 0
+
+
+def test_transfers_left_out_for_their_amount_are_counted(spark):
+    rows = [("a", "5", False), ("b", None, True), ("c", None, False), ("d", "1" + "0" * 38, None), ("e", "9" * 38, False), ("f", "x", None)]
+    t = spark.createDataFrame(rows, "transfer_sid string, amount string, amount_overflow boolean")
+    assert tuple(edgelist.overflows(t).first()) == (6, 2, 2)
+    assert tuple(edgelist.overflows(t.drop("amount_overflow")).first()) == (6, 1, 3)
