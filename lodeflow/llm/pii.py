@@ -50,7 +50,7 @@ NEVER = {
     IDENTITY: (re.compile(r"(?:\border no\. |\bchecksum |\blot |\bisbn |\brun #|\bheight |\bwindow |\bto |\w ?[=+*<>]=? )$", re.IGNORECASE), None),
 }
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
-_LETTERS = re.compile(r"[^\W\d_]{3,}")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
 
 
 @dataclass
@@ -143,7 +143,7 @@ def harvest_counts(texts: Sequence[str]) -> tuple[dict[str, int], frozenset[str]
             if "," in who:
                 who = who.partition(",")[2].strip()
             w = who.split(" ")[0].lower()
-            if len(w) > 2 and re.fullmatch(r"[^\W\d_]+(?:-[^\W\d_]+)*", w) and " " in m[1].strip():
+            if len(w) > 1 and re.fullmatch(r"[^\W\d_]+(?:-[^\W\d_]+)*", w) and " " in m[1].strip():
                 first[w] += 1
         seen.update({w.lower() for w in _LETTERS.findall(t)})
     often = max(5, len(texts) // 500)
@@ -176,8 +176,8 @@ def corpus_tables(docs: DataFrame, text: str) -> tuple[DataFrame, frozenset[str]
     ensure_checkpoint_dir(spark)
     who = who.checkpoint()
     after = F.when(F.instr("w", ",") > 0, F.trim(F.regexp_replace("w", "^[^,]*,", ""))).otherwise(F.col("w"))
-    first = who.where(F.instr("w", " ") > 0).select(F.lower(F.substring_index(after, " ", 1)).alias("g")).where(F.col("g").rlike(r"^\p{L}+(?:-\p{L}+)*$") & (F.length("g") > 2)).groupBy("g").agg(F.count("*").alias("n")).checkpoint()
-    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+    first = who.where(F.instr("w", " ") > 0).select(F.lower(F.substring_index(after, " ", 1)).alias("g")).where(F.col("g").rlike(r"^\p{L}+(?:-\p{L}+)*$") & (F.length("g") > 1)).groupBy("g").agg(F.count("*").alias("n")).checkpoint()
+    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
     seen = t.select(F.explode(F.array_distinct(split("t"))).alias("w"), F.lit(1).alias("d"), F.lit(0).alias("s"))
     last = who.select(F.explode(split("w")).alias("w"), F.lit(0).alias("d"), F.lit(1).alias("s"))
     counts = seen.unionByName(last).groupBy("w").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))

@@ -60,7 +60,7 @@ ADDRESS_RE = re.compile(r"(?<![\w.,/-])(?:" + "|".join(f"(?P<{k}>{p})" for k, p
 _ADDRESS_HINT = re.compile(rf"\b(?:{_STREETS})\b|\d(?: ?bis| ?ter|[a-z])?,? (?:{_FRENCH})|\b(?:{_SPANISH}) |(?:{_GERMAN}) \d|\b(?:{_AM}) [A-ZÀ-Þ]")
 
 PARTICLES = r"(?:(?:de|di|da|del|von|van|der|den|al|el|la|le|bin|ibn|zu|af)[ -])"
-_SUR = rf"{PARTICLES}*[^\W\d_][^\W\d_'’]{{2,24}}(?:-[^\W\d_]{{2,24}}){{0,2}}"
+_SUR = rf"{PARTICLES}*(?:[^\W\d_]['’])?[^\W\d_]{{2,25}}(?:-[^\W\d_]{{2,24}}){{0,2}}"
 _INITIALS = r"[A-Za-zÀ-ÿ]\.(?: ?[A-Za-zÀ-ÿ]\.){0,2}"
 _SUR_RE = re.compile(rf" ({_SUR})(?![\w@])", re.IGNORECASE)
 _BEFORE_RE = re.compile(rf"(?<![\w@.+-])({_SUR}), $", re.IGNORECASE)

@@ -169,3 +169,18 @@ def test_a_long_list_of_given_names_is_joined(spark, monkeypatch):
 ])
 def test_every_form_of_address_alone(text):
     assert [(c.kind, c.start, c.end) for c in candidates(text, None, frozenset()) if c.kind == ADDRESS] == [(ADDRESS, 0, len(text))]
+
+
+def test_short_and_apostrophe_names_are_candidates(spark):
+    texts = ["// Author: Bo Larsen\n", "// Author: Grace Ng\n", "// Author: Mei Li\n"]
+    given = harvest(texts)[0]
+    assert given == {"bo", "grace", "mei"} == corpus_words(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "text")[0]
+    m = Model(lexicon=given)
+    for who in ("Bo Larsen", "Grace Ng", "Mei Li", "J. O'Brien", "Mei O’Brien", "O'Brien, Mei", "Li, Mei"):
+        assert (0, len(who)) in {(c.start, c.end) for c in candidates(who + " wrote it", m.trie, given) if c.kind == NAME}, who
+
+
+def test_common_words_of_two_letters_are_no_surnames():
+    texts = [t for t, _ in corpus(1500, 1)] + ["it is so\n"] * 40
+    m = train(texts)
+    assert {"it", "is", "so"} <= m.common and not find("// Iris is late", m)
