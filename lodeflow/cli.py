@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.operators import clean, edgelist, features, graph, score
-from lodeflow.session import build_session
+from lodeflow.session import build_session, ship
 from lodeflow.sources.layout import month_path, read_csv_text, read_table, write_csv, write_table
 
 STAGES = ("clean", "abstract", "graph", "features", "result")
@@ -20,10 +20,12 @@ STAGES = ("clean", "abstract", "graph", "features", "result")
 
 def run_clean(spark: SparkSession, root: str, at: tuple) -> None:
     raw = lambda kind: read_csv_text(spark, month_path(root, f"raw/{at[0]}/{kind}", None, *at[1:]))
-    write_table(clean.clean_blocks(raw("blocks")), month_path(root, "clean/blocks", *at))
+    blocks = raw("blocks")
+    write_table(clean.clean_blocks(blocks), month_path(root, "clean/blocks", *at))
     transfers = raw("native_transfers")
     write_table(clean.clean_transfers(transfers, "source_file", "source_row"), month_path(root, "clean/transfers", *at))
-    clean.reject_counts(clean.checked_transfers(transfers)).show(truncate=False)
+    report = clean.drop_report(clean.checked_blocks(blocks), "blocks").unionByName(clean.drop_report(clean.checked_transfers(transfers), "native_transfers"))
+    report.orderBy("stage", "what").show(100, truncate=False)
 
 
 def run_abstract(spark: SparkSession, root: str, at: tuple) -> None:
@@ -37,7 +39,7 @@ def run_abstract(spark: SparkSession, root: str, at: tuple) -> None:
 def run_graph(spark: SparkSession, root: str, at: tuple) -> None:
     tables = [read_table(spark, month_path(root, f"abstract/{n}", *at)) for n in ("token_transfer", "transaction", "block")]
     edgelist.unmatched(*tables).show()
-    edgelist.overflows(tables[0]).show()
+    edgelist.dropped_amounts(tables[0]).show()
     pairs_at = month_path(root, "graph/pairs", *at)
     write_table(graph.aggregate_edges(edgelist.filter_edges(edgelist.edgelist(*tables))), pairs_at)
     write_table(graph.number_vertices(read_table(spark, pairs_at)), month_path(root, "graph/vertices", *at))
@@ -71,6 +73,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
     spark, at = build_session("lodeflow"), (a.chain, a.year, a.month)
+    ship(spark)
     if a.stage == "serve":
         from lodeflow.serving.api import Service, serve
         from lodeflow.sources.layout import month_or_none

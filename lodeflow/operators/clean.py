@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions import validate as V
 from lodeflow.functions.text import normalised, null_tokens_to_null, number_or_null, trimmed
-from lodeflow.functions.uint256 import hex_digits_to_decimal
+from lodeflow.functions.uint256 import hex_to_text
 from lodeflow.operators.first_copy import first_copy
-from lodeflow.schemas import NATIVE_TOKEN, RAW_TRANSFER_COLUMNS, SCHEMAS
+from lodeflow.schemas import NATIVE_TOKEN, RAW_BLOCK_COLUMNS, RAW_TRANSFER_COLUMNS, SCHEMAS
 
 
 REQUIRED = RAW_TRANSFER_COLUMNS[:6]
@@ -21,9 +21,9 @@ def checked_transfers(raw: DataFrame, *keep: str) -> DataFrame:
 
 
 def clean_transfers(raw: DataFrame, *keep: str) -> DataFrame:
-    """Valid transfers, normalised: block_number bigint, transfer_index and chain_id int, lower-case hashes and addresses."""
+    """Valid transfers, normalised: block_number and transfer_index bigint, chain_id int, lower-case hashes and addresses."""
     lower = [normalised(c).alias(c) for c in ("transaction_hash", "from_address", "to_address", "value_binary")]
-    return raw.where(V.all_of(V.transfer_checks())).select(V.block_number("block_number").alias("block_number"), trimmed("transfer_index").cast("int").alias("transfer_index"), *lower, trimmed(V.chain_id()).cast("int").alias("chain_id"), *keep)
+    return raw.where(V.all_of(V.transfer_checks())).select(V.block_number("block_number").alias("block_number"), trimmed("transfer_index").cast("bigint").alias("transfer_index"), *lower, trimmed(V.chain_id()).cast("int").alias("chain_id"), *keep)
 
 
 def clean_blocks(raw: DataFrame) -> DataFrame:
@@ -36,6 +36,19 @@ def reject_counts(checked: DataFrame) -> DataFrame:
     return checked.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reject_reason")).agg(F.count("*").alias("n_rows"))
 
 
+def checked_blocks(raw: DataFrame) -> DataFrame:
+    """The raw block columns with reject_reason (NULL if valid)."""
+    return raw.select(*RAW_BLOCK_COLUMNS, V.first_reason(("block_number", "block_hash", "timestamp"), V.block_checks()).alias("reject_reason"))
+
+
+def drop_report(checked: DataFrame, stage: str) -> DataFrame:
+    """stage, what, n_rows: rows read, kept, dropped for each reason, and kept with a block number whose fraction was cut off."""
+    kept = F.col("reject_reason").isNull()
+    n = checked.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("what")).agg(F.count("*").alias("n"), F.count_if(kept & V.is_fraction("block_number")).alias("f"))
+    rows = F.explode(F.array(F.struct("what", "n"), F.struct(F.lit("read").alias("what"), F.col("n")), F.struct(F.lit("fraction_cut_off").alias("what"), F.col("f").alias("n")))).alias("r")
+    return n.select(rows).groupBy(F.lit(stage).alias("stage"), "r.what").agg(F.sum("r.n").alias("n_rows"))
+
+
 def _sid(*parts: str):
     return F.concat_ws("_", *[F.col(p).cast("string") for p in parts])
 
@@ -54,16 +67,14 @@ def abstract_transaction(transfers: DataFrame, order: tuple[str, ...] = ()) -> D
 def abstract_transfer(transfers: DataFrame, order: tuple[str, ...] = ("value_binary", "from_address", "to_address")) -> DataFrame:
     """abstract_token_transfer: positive amounts, the first row of each transfer_sid by order.
 
-    amount is the decimal number as text; one beyond 10^38-1 is NULL in amount
-    and has amount_overflow set, so that a job can report it.
+    amount is the exact decimal number as text, of up to 78 digits.
     """
-    amount = hex_digits_to_decimal(F.col("value_binary"))
     rows = transfers.select("*", _sid("chain_id", "transaction_hash", "transfer_index").alias("_sid")).where(~F.col("value_binary").rlike("^0x0*$"))
     keep = ["transfer_index", "value_binary", "chain_id", "transaction_hash", "from_address", "to_address"]
     one = first_copy(rows, F.col("_sid"), list(order), keep)
     return one.select(
-        F.col("_key").alias("transfer_sid"), "transfer_index", amount.cast("string").alias("amount"), F.lit("transfer").alias("category"), _sid("chain_id", "transaction_hash").alias("tx_sid"),
-        _sid("chain_id", "from_address").alias("spender_address_sid"), _sid("chain_id", "to_address").alias("receiver_address_sid"), F.concat_ws("_", "chain_id", F.lit("native")).alias("token_sid"), amount.isNull().alias("amount_overflow"),
+        F.col("_key").alias("transfer_sid"), "transfer_index", hex_to_text(F.col("value_binary")).alias("amount"), F.lit("transfer").alias("category"), _sid("chain_id", "transaction_hash").alias("tx_sid"),
+        _sid("chain_id", "from_address").alias("spender_address_sid"), _sid("chain_id", "to_address").alias("receiver_address_sid"), F.concat_ws("_", "chain_id", F.lit("native")).alias("token_sid"),
     )
 
 

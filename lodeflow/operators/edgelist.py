@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeflow.functions.uint256 import at_least, digits
 from lodeflow.schemas import BLACKLIST, MIN_AMOUNT
 
 
@@ -25,15 +26,17 @@ def unmatched(transfers: DataFrame, transactions: DataFrame, blocks: DataFrame)
     return j.agg(F.count("*").alias("n_rows"), F.count_if(F.col("_tx").isNull()).alias("without_tx"), F.count_if(F.col("_tx").isNotNull() & F.col("_block").isNull()).alias("without_block"))
 
 
-def overflows(transfers: DataFrame) -> DataFrame:
-    """One row: transfers, those with an amount beyond decimal(38,0), those without an amount that is a number. filter_edges drops the last two."""
-    number, flagged = F.col("amount").try_cast("double"), F.coalesce(F.col("amount_overflow"), F.lit(False)) if "amount_overflow" in transfers.columns else F.lit(False)
-    lost = F.col("amount").try_cast("decimal(38,0)").isNull()
-    beyond = lost & (flagged | F.coalesce((number >= 1e38) & ~F.isnan(number), F.lit(False)))
-    return transfers.agg(F.count("*").alias("n_rows"), F.count_if(beyond).alias("amount_overflow"), F.count_if(lost & ~beyond).alias("without_amount"))
+def dropped_amounts(transfers: DataFrame) -> DataFrame:
+    """One row: transfers, those whose amount is no whole number of at most 78 digits (filter_edges drops them), those of more than 38 digits (kept exactly)."""
+    d = digits("amount")
+    return transfers.agg(F.count("*").alias("n_rows"), F.count_if(d.isNull()).alias("without_amount"), F.count_if(F.length(d) > 38).alias("beyond_38_digits"))
 
 
 def filter_edges(edges: DataFrame, min_amount: int = MIN_AMOUNT, blacklist: tuple[str, ...] = BLACKLIST) -> DataFrame:
-    """Without amounts below the minimum or accounts of the blacklist; a NULL account is on no list. amount becomes decimal(38,0)."""
+    """Without amounts below the minimum or accounts of the blacklist; a NULL account is on no list.
+
+    amount stays text, as plain digits of up to 78 places, and is compared
+    exactly; rows whose amount is no such number are dropped (dropped_amounts counts them).
+    """
     listed = F.coalesce(F.col("from_address_sid").isin(*blacklist), F.lit(False)) | F.coalesce(F.col("to_address_sid").isin(*blacklist), F.lit(False))
-    return edges.withColumn("amount", F.col("amount").try_cast("decimal(38,0)")).where((F.col("amount") >= F.lit(min_amount).cast("decimal(38,0)")) & ~listed)
+    return edges.withColumn("amount", digits("amount")).where(at_least(F.col("amount"), min_amount) & ~listed)

@@ -11,6 +11,9 @@ def first_copy(df: DataFrame, key: Column, order: list[str], keep: list[str]) ->
 
     Partial minima are taken before the shuffle, so a key that owns a third of
     all rows costs one row per input split. Rows whose key is NULL are left out.
+    The minimum of a row is aggregated by sorting; the key's 64-bit hash leads
+    the grouping, so that rows sort by a number and not by texts that begin alike.
     """
     cols = list(dict.fromkeys([*order, *keep]))
-    return df.select(key.alias("_key"), F.struct(*cols).alias("_row")).where("_key IS NOT NULL").groupBy("_key").agg(F.min("_row").alias("_row")).select("_key", *[F.col(f"_row.{c}").alias(c) for c in keep])
+    rows = df.select(key.alias("_key"), F.struct(*cols).alias("_row")).where("_key IS NOT NULL")
+    return rows.groupBy(F.xxhash64("_key").alias("_h"), "_key").agg(F.min("_row").alias("_row")).select("_key", *[F.col(f"_row.{c}").alias(c) for c in keep])

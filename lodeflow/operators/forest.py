@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeflow.session import ensure_checkpoint_dir
+from lodeflow.session import stored
 
 #: As in the reference: a tree's sample are all rows up to 100,000.
 TREES, SAMPLE, SEED = 300, 100_000, 42
@@ -27,29 +27,45 @@ def expected_path(m: np.ndarray) -> np.ndarray:
     return np.where(m > 2, 2 * (np.log(big - 1) + EULER) - 2 * (big - 1) / big, np.where(m == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[list[int], list[float], list[int], list[int], list[float]]:
-    """A tree as arrays: feature (-1 at leaves), split, left, right, path length at leaves."""
-    feature, split, left, right, path = [], [], [], [], []
+def grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as arrays: feature (-1 at leaves), split, left, right, path length at leaves.
 
-    def add() -> int:
-        for a, v in ((feature, -1), (split, 0.0), (left, -1), (right, -1), (path, 0.0)):
-            a.append(v)
-        return len(feature) - 1
-
-    stack = [(add(), np.arange(len(x)), 0)]
-    while stack:
-        at, rows, d = stack.pop()
-        lo, hi = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (0, 0)
-        wide = np.flatnonzero(hi > lo) if len(rows) > 1 else []
-        if d >= depth or not len(wide):
-            path[at] = d + float(expected_path(np.array([len(rows)]))[0])
-            continue
-        f = int(rng.choice(wide))
-        s = float(rng.uniform(lo[f], hi[f]))
-        below = x[rows, f] < s
-        feature[at], split[at], left[at], right[at] = f, s, add(), add()
-        stack += [(left[at], rows[below], d + 1), (right[at], rows[~below], d + 1)]
-    return feature, split, left, right, path
+    All nodes of a level are split at once: rows lie sorted by node, so a
+    node's bounds are reductions over its stretch of rows.
+    """
+    parts: list[tuple[np.ndarray, ...]] = []
+    start, n_nodes, level = np.zeros(1, dtype=np.int64), 1, 0
+    while True:
+        size = np.diff(np.append(start, len(x)))
+        feature, split = np.full(len(size), -1), np.zeros(len(size))
+        left, right = np.full(len(size), -1), np.full(len(size), -1)
+        if level < depth and len(x):
+            lo, hi = np.minimum.reduceat(x, start, axis=0), np.maximum.reduceat(x, start, axis=0)
+            wide = hi > lo
+            # A random one of the columns that vary in the node: the largest of random keys.
+            pick = np.where(wide, rng.random(wide.shape), -1.0).argmax(axis=1)
+            at = np.arange(len(size))
+            u, inner = rng.random(len(size)), wide.any(axis=1)
+            cut = lo[at, pick] + u * (hi[at, pick] - lo[at, pick])
+            # Rounding may not put all rows on one side.
+            cut = np.where(cut <= lo[at, pick], hi[at, pick], cut)
+            feature, split = np.where(inner, pick, -1), np.where(inner, cut, 0.0)
+            child = n_nodes + 2 * (np.cumsum(inner) - 1)
+            left, right = np.where(inner, child, -1), np.where(inner, child + 1, -1)
+        parts.append((feature, split, left, right, np.where(feature < 0, level + expected_path(size), 0.0)))
+        inner = feature >= 0
+        if not inner.any():
+            return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        node = np.repeat(np.arange(len(size)), size)
+        stays = inner[node]
+        x, node = x[stays], node[stays]
+        above = x[np.arange(len(x)), feature[node]] >= split[node]
+        rank = (np.cumsum(inner) - 1)[node] * 2 + above
+        order = np.argsort(rank, kind="stable")
+        x, rank = x[order], rank[order]
+        start = np.searchsorted(rank, np.arange(2 * int(inner.sum())))
+        n_nodes += 2 * int(inner.sum())
+        level += 1
 
 
 def packed(tree) -> bytes:
@@ -92,9 +108,10 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "i
     """key and the score: 2^(-mean path / expected path) - 0.5, higher for rows easier to isolate.
 
     Rows with a NULL among the columns have a NULL score; without usable
-    columns all scores are 0. A tree's sample are the rows with the smallest
-    hashes of (tree, key), so the result doesn't depend on partitioning. Trees
-    are grown in their tasks and kept at a checkpoint; groups of at most
+    columns all scores are 0. Each row has one place on a circle, the hash of its
+    key, and each tree takes the rows of an arc that begins at its own place, so
+    drawing costs as much as the samples hold and the result doesn't depend on
+    partitioning. Trees are grown in their tasks and stored; groups of at most
     group_nodes nodes go to the executors one after the other, each adding its
     path lengths to the rows, so memory depends on neither table nor sample.
     """
@@ -104,21 +121,25 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "i
     if not n or not columns:
         return rows.select(key, (F.lit(None) if columns else F.lit(0.0)).cast("double").alias(name))
     psi = min(sample, n)
-    # Somewhat more than the sample by hash, then exactly the smallest hashes in each tree's task.
+    # An arc that holds somewhat more than the sample; then exactly the nearest rows in each tree's task.
     share = min(1.0, psi / n + 6 * math.sqrt(psi) / n + 1e-9)
-    top = (1 << 62) - 1
-    draw = lambda t: F.xxhash64(F.lit(seed), t, F.col(key)).bitwiseAND(F.lit(top))
-    chosen = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("h"))), lambda s: s["h"] <= F.lit(int(top * share)))
-    sampled = whole.select(key, *columns, F.explode(chosen).alias("_s")).select(*columns, "_s.tree", "_s.h")
+    place = F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    if share == 1.0:
+        drawn = F.sequence(F.lit(0), F.lit(trees - 1))
+    else:
+        last = F.floor(F.col("_u") * trees)
+        drawn = F.sequence(last - int(share * trees) - 1, last)
+    far = lambda t: F.pmod(F.col("_u") - t / F.lit(float(trees)), F.lit(1.0))
+    chosen = F.transform(drawn, lambda t: F.struct(F.pmod(t, F.lit(trees)).cast("int").alias("tree"), far(t).alias("h")))
+    sampled = whole.withColumn("_u", place).select(key, *columns, F.explode(F.array_distinct(F.filter(chosen, lambda s: s["h"] < F.lit(share + (share == 1.0))))).alias("_s")).select(key, *columns, "_s.tree", "_s.h")
     depth = max(1, math.ceil(math.log2(max(psi, 2))))
 
     def train(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("h").head(psi)
+        g = g.sort_values(["h", key]).head(psi)
         t = grow(g[columns].to_numpy(float), depth, np.random.default_rng([seed, int(g.tree.iat[0])]))
         return pd.DataFrame({"tree": [int(g.tree.iat[0])], "nodes": [len(t[0])], "data": [packed(t)]})
 
-    ensure_checkpoint_dir(df.sparkSession)
-    grown = sampled.groupBy("tree").applyInPandas(train, "tree int, nodes int, data binary").checkpoint()
+    grown = stored(sampled.groupBy("tree").applyInPandas(train, "tree int, nodes int, data binary"), "trees")
     sizes = sorted((r.tree, r.nodes) for r in grown.select("tree", "nodes").collect())
     norm = float(expected_path(np.array([psi]))[0]) or 1.0
     names = [key, *columns, "_path"]
@@ -141,7 +162,7 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "i
     held = None
     for first, last in tree_groups(sizes, group_nodes):
         if held is not None:
-            scored = scored.checkpoint()
+            scored = stored(scored)
             held.unpersist()
         held = df.sparkSession.sparkContext.broadcast([bytes(r.data) for r in grown.where(F.col("tree").between(first, last)).orderBy("tree").collect()])
         scored = scored.mapInPandas(adder(held), schema)

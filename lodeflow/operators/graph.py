@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeflow.functions.uint256 import LIMBS, limbs, split, sums, to_text
 from lodeflow.operators.order import running_total
 
 
 def aggregate_edges(edges: DataFrame) -> DataFrame:
-    """from_sid, to_sid, amount, count, first_timestamp, token_sid: one row per pair of accounts. NULL ends are left out."""
+    """from_sid, to_sid, the limbs of the summed amount, count, first_timestamp, token_sid: one row per pair of accounts. NULL ends are left out.
+
+    edges: as filter_edges gives them. with_amounts() writes limbs as text.
+    """
     rows = edges.where("from_address_sid IS NOT NULL AND to_address_sid IS NOT NULL")
-    return rows.groupBy(F.col("from_address_sid").alias("from_sid"), F.col("to_address_sid").alias("to_sid")).agg(
-        F.sum(F.col("amount").cast("decimal(38,0)")).cast("decimal(38,0)").alias("amount"), F.count("transfer_sid").alias("count"), F.min("timestamp").alias("first_timestamp"), F.min("token_sid").alias("token_sid")
-    )
+    rows = rows.select(F.col("from_address_sid").alias("from_sid"), F.col("to_address_sid").alias("to_sid"), *split(F.col("amount")), "transfer_sid", "timestamp", "token_sid")
+    return rows.groupBy("from_sid", "to_sid").agg(*sums(), F.count("transfer_sid").alias("count"), F.min("timestamp").alias("first_timestamp"), F.min("token_sid").alias("token_sid"))
+
+
+def with_amounts(df: DataFrame) -> DataFrame:
+    """The limb columns as one column amount, exact digits as text, in their place."""
+    return df.select(*[to_text(*limbs()).alias("amount") if c == LIMBS[0] else F.col(c) for c in df.columns if c not in LIMBS[1:]])
 
 
 def number_vertices(pairs: DataFrame) -> DataFrame:
@@ -35,16 +43,16 @@ def flag_infra(vertices: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 
 def numbered_edges(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """src, dst, src_infra, dst_infra, amount, count."""
+    """src, dst, src_infra, dst_infra, the limbs of the amount, count."""
     v = vertices.select("sid", "node", "is_infra")
     s = v.select(F.col("sid").alias("from_sid"), F.col("node").alias("src"), F.col("is_infra").alias("src_infra"))
     t = v.select(F.col("sid").alias("to_sid"), F.col("node").alias("dst"), F.col("is_infra").alias("dst_infra"))
-    return pairs.join(s, "from_sid").join(t, "to_sid").select("src", "dst", "src_infra", "dst_infra", "amount", "count")
+    return pairs.join(s, "from_sid").join(t, "to_sid").select("src", "dst", "src_infra", "dst_infra", *LIMBS, "count")
 
 
 def without_infra(edges: DataFrame) -> DataFrame:
     """Edges both of whose ends are no infrastructure."""
-    return edges.where("src_infra = 0 AND dst_infra = 0").select("src", "dst", "amount", "count")
+    return edges.where("src_infra = 0 AND dst_infra = 0").select("src", "dst", *LIMBS, "count")
 
 
 def infra_candidates(pairs: DataFrame, whitelist: DataFrame, k: int = 100) -> DataFrame:

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeflow.session import ensure_checkpoint_dir
+from lodeflow.session import stored
 
 
 def running_total(df: DataFrame, order: list[Column], weight: Column | None = None, before: str = "before") -> DataFrame:
     """df with the total weight (number of rows, if none) of the rows before each one in the given order.
 
-    Rows are range-partitioned and kept at a checkpoint, so that partitions
-    can't change under it; totals inside a partition start from the totals of
+    Rows are range-partitioned and stored, so that partitions can't change
+    under it; totals inside a partition start from the totals of
     the partitions ahead, of which there are as many as shuffle partitions. The
     order must be total for the result to be unique.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     w = (F.lit(1) if weight is None else weight).cast("bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("_w", w).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    placed = stored(df.withColumn("_w", w).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     ahead = placed.groupBy("_part").agg(F.sum("_w").alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inside = F.coalesce(F.sum("_w").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return placed.withColumn("_inside", inside).join(F.broadcast(ahead), "_part").withColumn(before, (F.col("_inside") + F.col("_ahead")).cast("bigint")).drop("_part", "_w", "_inside", "_ahead")

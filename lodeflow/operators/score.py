@@ -9,7 +9,7 @@ from lodeflow.operators import detect
 from lodeflow.operators.forest import SAMPLE, TREES, isolation_scores
 from lodeflow.operators.order import average_rank
 from lodeflow.schemas import RESULT_COLUMNS, RULES
-from lodeflow.session import ensure_checkpoint_dir
+from lodeflow.session import stored
 
 PARTS = ("rule_score_100", "mahalanobis_distance_stats_score_100", "iforest_stats_score_100")
 
@@ -51,14 +51,13 @@ def usable_scores(stats: DataFrame) -> list[str]:
 
 def result_table(features: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """The 44 columns of the analysis result for every vertex; infrastructure accounts have NULL from the flags on."""
-    ensure_checkpoint_dir(features.sparkSession)
     plain = detect.coerce(features.where("is_infra = 0"), ("in_degree", "out_degree", "two_node_loop_count", "triangle_loop_count", "egonet_density"))
-    stats = statistics(detect.with_rules(plain)).checkpoint()
+    stats = stored(statistics(detect.with_rules(plain)), "stats")
     usable = usable_scores(stats)
     forest = isolation_scores(stats, "node", usable, trees=trees, sample=sample)
     scored = rule_score(stats.join(forest, "node"))
-    scored = hazen(hazen(scored.checkpoint(), "mahalanobis_distance", PARTS[1]), "iforest_score", PARTS[2])
-    scored = final_score(scored.checkpoint())
+    scored = hazen(hazen(stored(scored), "mahalanobis_distance", PARTS[1]), "iforest_score", PARTS[2])
+    scored = final_score(stored(scored))
     types = dict(features.dtypes)
     keep = [F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in RESULT_COLUMNS]
     infra = features.where("is_infra <> 0")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.operators import clean, edgelist, features, graph
-from lodeflow.session import ensure_checkpoint_dir
-from lodeflow.sources.tables import table
+from lodeflow.schemas import RAW_TRANSFER_COLUMNS
+from lodeflow.session import stored
+from lodeflow.sources.tables import spread, table
 
 YEAR, MONTH = 2023, 1
 FIRST_BLOCK, FIRST_TIME, BLOCK_SECONDS = 16_308_189, 1_672_531_199, 12
@@ -22,10 +23,10 @@ _MAPPING = f"""SELECT 1 AS chain_id,
 
 
 def raw_transfers(spark: SparkSession, d: str) -> DataFrame:
-    """Raw transfers made of order lines, all columns as text."""
+    """Raw transfers made of order lines, all columns as text; stored, as raw files would be, so that no filter is pushed into their making."""
     lines, orders = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"), table(spark, d, "orders", "o_orderkey", "o_custkey")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return spark.sql(_MAPPING + " FROM {joined}", joined=joined).select(*[F.col(c).cast("string").alias(c) for c in ("block_number", "transfer_index", "transaction_hash", "from_address", "to_address", "value_binary", "chain_id")])
+    joined = spread(lines, "l_orderkey", "l_linenumber").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return stored(spark.sql(_MAPPING + " FROM {joined}", joined=joined).select(*[F.col(c).cast("string").alias(c) for c in RAW_TRANSFER_COLUMNS]), "raw")
 
 
 def blocks(transfers: DataFrame) -> DataFrame:
@@ -34,9 +35,8 @@ def blocks(transfers: DataFrame) -> DataFrame:
 
 
 def filtered_edges(spark: SparkSession, d: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
     # Clean transfers are stored: three tables are made from them.
-    t = clean.clean_transfers(raw_transfers(spark, d)).checkpoint()
+    t = stored(clean.clean_transfers(raw_transfers(spark, d)), "clean")
     edges = edgelist.edgelist(clean.abstract_transfer(t), clean.abstract_transaction(t), clean.abstract_block(blocks(t)))
     return edgelist.filter_edges(edges)
 
@@ -52,17 +52,14 @@ def whitelist(pairs_: DataFrame) -> DataFrame:
 
 
 def network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs, flagged vertices and numbered edges; the pairs are kept at a checkpoint, as all three need them."""
-    ensure_checkpoint_dir(spark)
-    p = pairs(spark, d).checkpoint()
-    v = graph.flag_infra(graph.number_vertices(p), whitelist(p))
-    return p, v, graph.numbered_edges(p, v)
+    """Pairs, flagged vertices and numbered edges, each stored, as several steps need them."""
+    p = stored(pairs(spark, d), "pairs")
+    v = stored(graph.flag_infra(graph.number_vertices(p), whitelist(p)), "vertices")
+    return p, v, stored(graph.numbered_edges(p, v), "edges")
 
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
     _, v, e = network(spark, d)
-    v, e = v.checkpoint(), e.checkpoint()
     return features.assemble(v, e, YEAR, MONTH)
 
 

@@ -15,25 +15,20 @@ from lodeflow.plans import network as N
 from lodeflow.schemas import RULE_TEXTS, SCHEMAS
 from lodeflow.serving import api
 from lodeflow.serving.sqlguard import run_select
-from lodeflow.session import ensure_checkpoint_dir
+from lodeflow.session import stored
 from lodeflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _amounts_as_text(df: DataFrame) -> DataFrame:
-    """decimal(38,0) as text: results are compared across engines, whose widest numbers differ."""
-    return df.withColumns({c: F.col(c).cast("string") for c, t in df.dtypes if t == "decimal(38,0)"})
-
-
 def query(sql: str | None = None, text: tuple[str, ...] = ()):
-    """Register a query and its SQL. text: amounts that both give as text."""
+    """Register a query and its SQL. text: amounts that the query gives as exact digits, as text."""
     if sql and text:
         sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in text)}) FROM ({sql})"
 
     def add(f):
-        QUERIES[f.__name__] = (lambda spark, d: _amounts_as_text(f(spark, d))) if text else f
+        QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -50,9 +45,9 @@ _CHECKED = f"""ck AS (SELECT *, CASE WHEN block_number IS NULL OR transfer_index
   WHEN NOT coalesce(length(trim(block_number)) <= 20 AND {_NUM} AND floor(try_cast(trim(block_number) AS DOUBLE)) BETWEEN 10000 AND 999999999, false) THEN 'block_number'
   WHEN NOT (starts_with(lower(trim(transaction_hash)), '0x') AND length(trim(transaction_hash)) = 66) THEN 'transaction_hash'
   WHEN NOT regexp_full_match(lower(trim(from_address)), '0x[0-9a-f]{{40}}') THEN 'from_address' WHEN NOT regexp_full_match(lower(trim(to_address)), '0x[0-9a-f]{{40}}') THEN 'to_address'
-  WHEN NOT regexp_full_match(lower(trim(value_binary)), '0x[0-9a-f]{{64}}') THEN 'value_binary' WHEN NOT regexp_full_match(trim(transfer_index), '[0-9]{{1,9}}') THEN 'transfer_index'
-  WHEN NOT regexp_full_match(trim(chain_id), '[0-9]{{1,9}}') THEN 'chain_id' END AS reason FROM (SELECT delivery_id, {_RAW} FROM raw_native_transfer))"""
-_CLEAN = f"""{_CHECKED}, cl AS (SELECT delivery_id, CAST(floor(CAST(trim(block_number) AS DOUBLE)) AS BIGINT) AS block_number, CAST(trim(transfer_index) AS INTEGER) AS transfer_index, lower(trim(transaction_hash)) AS transaction_hash, lower(trim(from_address)) AS from_address,
+  WHEN NOT regexp_full_match(lower(trim(value_binary)), '0x[0-9a-f]{{64}}') THEN 'value_binary' WHEN NOT regexp_full_match(trim(transfer_index), '0*[0-9]{{1,18}}') THEN 'transfer_index'
+  WHEN NOT (regexp_full_match(trim(chain_id), '0*[0-9]{{1,10}}') AND CAST(trim(chain_id) AS BIGINT) <= 2147483647) THEN 'chain_id' END AS reason FROM (SELECT delivery_id, {_RAW} FROM raw_native_transfer))"""
+_CLEAN = f"""{_CHECKED}, cl AS (SELECT delivery_id, CAST(floor(CAST(trim(block_number) AS DOUBLE)) AS BIGINT) AS block_number, CAST(trim(transfer_index) AS BIGINT) AS transfer_index, lower(trim(transaction_hash)) AS transaction_hash, lower(trim(from_address)) AS from_address,
   lower(trim(to_address)) AS to_address, lower(trim(value_binary)) AS value_binary, CAST(trim(chain_id) AS INTEGER) AS chain_id FROM ck WHERE reason IS NULL)"""
 
 
@@ -93,8 +88,8 @@ def abstract_transaction(spark, d):
 
 
 
-@query(f"""WITH {N.NETWORK_SQL} SELECT concat('1_', transaction_hash, '_', CAST(transfer_index AS VARCHAR)) AS transfer_sid, CAST(transfer_index AS INTEGER) AS transfer_index, CAST(amount AS VARCHAR) AS amount, 'transfer' AS category, concat('1_', transaction_hash) AS tx_sid,
-  concat('1_', from_address) AS spender_address_sid, concat('1_', to_address) AS receiver_address_sid, '1_native' AS token_sid, false AS amount_overflow FROM tr""")
+@query(f"""WITH {N.NETWORK_SQL} SELECT concat('1_', transaction_hash, '_', CAST(transfer_index AS VARCHAR)) AS transfer_sid, CAST(transfer_index AS BIGINT) AS transfer_index, CAST(amount AS VARCHAR) AS amount, 'transfer' AS category, concat('1_', transaction_hash) AS tx_sid,
+  concat('1_', from_address) AS spender_address_sid, concat('1_', to_address) AS receiver_address_sid, '1_native' AS token_sid FROM tr""")
 def abstract_transfer(spark, d):
     return clean.abstract_transfer(clean.clean_transfers(N.raw_transfers(spark, d)))
 
@@ -129,13 +124,12 @@ def edgelist_unmatched(spark, d):
     return edgelist.unmatched(*_ledger(spark, d))
 
 
-_LOST = "TRY_CAST(amount AS DECIMAL(38,0)) IS NULL"
-_BEYOND = "coalesce(TRY_CAST(amount AS DOUBLE) >= 1e38 AND NOT isnan(TRY_CAST(amount AS DOUBLE)), false)"
+_DIGITS = "regexp_replace(trim(amount, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '^0+([0-9])', '\\1')"
 
 
-@query(f"SELECT count(*) AS n_rows, count(*) FILTER ({_LOST} AND {_BEYOND}) AS amount_overflow, count(*) FILTER ({_LOST} AND NOT {_BEYOND}) AS without_amount FROM abstract_token_transfer")
-def edgelist_overflows(spark, d):
-    return edgelist.overflows(table(spark, d, "abstract_token_transfer"))
+@query(f"""SELECT count(*) AS n_rows, count(*) FILTER (NOT coalesce(regexp_full_match(d, '[0-9]{{1,78}}'), false)) AS without_amount, count(*) FILTER (regexp_full_match(d, '[0-9]{{39,78}}')) AS beyond_38_digits FROM (SELECT {_DIGITS} AS d FROM abstract_token_transfer)""")
+def edgelist_amounts(spark, d):
+    return edgelist.dropped_amounts(table(spark, d, "abstract_token_transfer", "amount"))
 
 
 @query(f"WITH {N.NETWORK_SQL} SELECT transfer_sid, f AS from_address_sid, t AS to_address_sid, CAST(amount AS HUGEINT) AS amount, '1_native' AS token_sid, tx_sid, CAST(ts AS BIGINT) AS \"timestamp\" FROM el", ("amount",))
@@ -145,7 +139,7 @@ def edgelist_filtered(spark, d):
 
 @query(f"WITH {N.NETWORK_SQL} SELECT f AS from_sid, t AS to_sid, amount, cnt AS \"count\", CAST(ts AS BIGINT) AS first_timestamp, '1_native' AS token_sid FROM ed", ("amount",))
 def edges(spark, d):
-    return N.pairs(spark, d)
+    return graph.with_amounts(N.pairs(spark, d))
 
 
 @query(f"WITH {N.NETWORK_SQL} SELECT sid, address, node, inf AS is_infra FROM vx")
@@ -226,8 +220,7 @@ def thresholds(spark, d):
 
 
 def _ruled(spark, d) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    return detect.with_rules(_plain(spark, d).checkpoint())
+    return detect.with_rules(stored(_plain(spark, d)))
 
 
 @query(f"WITH {_RULED} SELECT node, {', '.join(f'{r}_flag' for r in RULE_TEXTS)}, {_DESC} FROM rl")
@@ -261,8 +254,7 @@ def log_features(spark, d):
 
 @query(f"WITH {_LOGGED}, mo AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in detect.TRANSFORMED)} FROM lg) SELECT node, {', '.join(f'round(({c} - m_{c}) / CASE WHEN s_{c} > 1e-12 THEN s_{c} END, 5) AS {c}_z' for c in detect.TRANSFORMED)} FROM lg, mo")
 def zscores(spark, d):
-    ensure_checkpoint_dir(spark)
-    logs = detect.with_logs(_plain(spark, d)).checkpoint()
+    logs = stored(detect.with_logs(_plain(spark, d)))
     return detect.with_z(logs, detect.moments(logs, detect.TRANSFORMED)).select("node", *[F.round(c, 5).alias(c) for c in detect.Z_SCORES])
 
 
@@ -278,14 +270,12 @@ def covariance(spark, d):
 
 @query()
 def mahalanobis(spark, d):
-    ensure_checkpoint_dir(spark)
-    return score.statistics(_plain(spark, d).checkpoint()).select("node", "mahalanobis_distance")
+    return score.statistics(stored(_plain(spark, d))).select("node", "mahalanobis_distance")
 
 
 @query()
 def iforest(spark, d):
-    ensure_checkpoint_dir(spark)
-    s = score.statistics(_plain(spark, d).checkpoint()).checkpoint()
+    s = stored(score.statistics(stored(_plain(spark, d))))
     return isolation_scores(s, "node", score.usable_scores(s))
 
 
@@ -302,8 +292,7 @@ _RANK = lambda c, desc="": f"rank() OVER (ORDER BY {c} {desc}) + (count(*) OVER
 
 @query(f"WITH {_PLAIN} SELECT node, CAST(({_RANK('in_degree')} - 0.5) / count(*) OVER () * 100 AS FLOAT) AS percentile FROM pl")
 def hazen(spark, d):
-    ensure_checkpoint_dir(spark)
-    return score.hazen(_plain(spark, d).select("node", "in_degree").checkpoint(), "in_degree", "percentile").select("node", "percentile")
+    return score.hazen(stored(_plain(spark, d).select("node", "in_degree")), "in_degree", "percentile").select("node", "percentile")
 
 
 _HAZEN = lambda c: f"CAST(({_RANK(c)} - 0.5) / count(*) OVER () * 100 AS FLOAT)"
@@ -313,9 +302,8 @@ fr AS (SELECT *, round_even(({_RANK('final_score_0_100', 'DESC')}) / count(*) OV
 
 def _final(spark, d) -> DataFrame:
     """Scores without the forest: rules and the percentiles of both degrees."""
-    ensure_checkpoint_dir(spark)
-    s = score.rule_score(_ruled(spark, d)).select("node", "address", "in_degree", "out_degree", "rule_score_100").checkpoint()
-    s = score.hazen(score.hazen(s, "in_degree", "d1"), "out_degree", "d2").checkpoint()
+    s = stored(score.rule_score(_ruled(spark, d)).select("node", "address", "in_degree", "out_degree", "rule_score_100"))
+    s = stored(score.hazen(score.hazen(s, "in_degree", "d1"), "out_degree", "d2"))
     return score.final_score(s, ("rule_score_100", "d1", "d2"))
 
 
@@ -337,7 +325,7 @@ def result_table(spark, d):
 
 @query(f"WITH {_RULE_SCORED} SELECT node, address, rule_score_100 FROM rr WHERE address = (SELECT min(address) FROM rr)")
 def address_profile(spark, d):
-    s = score.rule_score(_ruled(spark, d)).select("node", "address", "rule_score_100").checkpoint()
+    s = stored(score.rule_score(_ruled(spark, d)).select("node", "address", "rule_score_100"))
     return api.by_address(s, s.agg(F.min("address")).first()[0])
 
 
@@ -360,26 +348,24 @@ def _overlap_sql() -> str:
 
 @query(_overlap_sql())
 def topq_overlap(spark, d):
-    return evaluate.top_overlap(_final(spark, d).checkpoint(), _SCORES)
+    return evaluate.top_overlap(stored(_final(spark, d)), _SCORES)
 
 
 @query(f"WITH {_TOPS}, ks AS ({_KS}) SELECT q_percent, k, count(*) FILTER (r_Rule <= k AND r_In <= k AND r_Out <= k) AS n_all FROM ks GROUP BY q_percent, k")
 def triple_overlap(spark, d):
-    return evaluate.common_top(_final(spark, d).checkpoint(), _SCORES)
+    return evaluate.common_top(stored(_final(spark, d)), _SCORES)
 
 
 @query(f"WITH {_PLAIN}, rk AS (SELECT {_RANK('in_degree')} AS a, {_RANK('out_degree')} AS b FROM pl) SELECT round(corr(a, b), 9) AS rho, count(*) AS n FROM rk")
 def spearman(spark, d):
-    ensure_checkpoint_dir(spark)
-    return evaluate.spearman(_plain(spark, d).select("in_degree", "out_degree").checkpoint(), "in_degree", "out_degree").select(F.round("rho", 9).alias("rho"), "n")
+    return evaluate.spearman(stored(_plain(spark, d).select("in_degree", "out_degree")), "in_degree", "out_degree").select(F.round("rho", 9).alias("rho"), "n")
 
 
 @query(f"""WITH {_PLAIN}, qq AS (SELECT quantile_cont(in_degree::DOUBLE, 0.99) AS qa, quantile_cont(out_degree::DOUBLE, 0.99) AS qb FROM pl),
 fl AS (SELECT in_degree >= qa AS x, out_degree >= qb AS y FROM pl, qq), cc AS (SELECT count(*) FILTER (x AND y) AS n11, count(*) FILTER (x AND NOT y) AS n10, count(*) FILTER (NOT x AND y) AS n01, count(*) FILTER (NOT x AND NOT y) AS n00, count(*)::DOUBLE AS n FROM fl)
 SELECT n11, n10, n01, n00, round(((n11 + n00) / n - ((n11 + n10) / n * (n11 + n01) / n + (n01 + n00) / n * (n10 + n00) / n)) / (1 - ((n11 + n10) / n * (n11 + n01) / n + (n01 + n00) / n * (n10 + n00) / n)), 9) AS kappa FROM cc""")
 def kappa(spark, d):
-    ensure_checkpoint_dir(spark)
-    return evaluate.kappa(_plain(spark, d).select("in_degree", "out_degree").checkpoint(), "in_degree", "out_degree").withColumn("kappa", F.round("kappa", 9))
+    return evaluate.kappa(stored(_plain(spark, d).select("in_degree", "out_degree")), "in_degree", "out_degree").withColumn("kappa", F.round("kappa", 9))
 
 
 @query(f"WITH {_PLAIN} SELECT node, {_RANK('out_degree')} AS rank_avg FROM pl")

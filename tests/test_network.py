@@ -1,10 +1,10 @@
 import random
 from collections import defaultdict
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodeflow.functions import uint256
 from lodeflow.operators import edgelist, features, graph
 from lodeflow.operators.order import average_rank, running_total
 from lodeflow.plans import network as N
@@ -12,7 +12,8 @@ from lodeflow.plans import network as N
 
 def pairs(spark, rows):
     """rows: (from, to, amount, count)."""
-    return spark.createDataFrame([(f, t, Decimal(a), c, 1, "1_native") for f, t, a, c in rows], "from_sid string, to_sid string, amount decimal(38,0), count bigint, first_timestamp bigint, token_sid string")
+    d = spark.createDataFrame([(f, t, str(a), c, 1, "1_native") for f, t, a, c in rows], "from_sid string, to_sid string, amount string, count bigint, first_timestamp bigint, token_sid string")
+    return d.select("from_sid", "to_sid", *uint256.split(F.col("amount")), "count", "first_timestamp", "token_sid")
 
 
 def build(spark, rows, infra=()):
@@ -72,7 +73,7 @@ def test_random_graph_against_brute_force(spark):
 
 
 def test_balances_and_degrees_add_up(spark, data_dir):
-    n = features.node_features(N.network(spark, data_dir)[2]).agg(F.sum("balance_proxy").alias("b"), F.sum("in_degree").alias("i"), F.sum("out_degree").alias("o")).first()
+    n = features.node_features(N.network(spark, data_dir)[2]).agg(F.sum(F.col("balance_proxy").cast("decimal(38,0)")).alias("b"), F.sum("in_degree").alias("i"), F.sum("out_degree").alias("o")).first()
     assert n.b == 0 and n.i == n.o == 1248
 
 
@@ -104,7 +105,21 @@ def test_empty_graph(spark, infra):
 
 
 def test_transfers_left_out_for_their_amount_are_counted(spark):
-    rows = [("a", "5", False), ("b", None, True), ("c", None, False), ("d", "1" + "0" * 38, None), ("e", "9" * 38, False), ("f", "x", None)]
-    t = spark.createDataFrame(rows, "transfer_sid string, amount string, amount_overflow boolean")
-    assert tuple(edgelist.overflows(t).first()) == (6, 2, 2)
-    assert tuple(edgelist.overflows(t.drop("amount_overflow")).first()) == (6, 1, 3)
+    rows = [("a", "5"), ("b", None), ("c", ""), ("d", "1" + "0" * 38), ("e", " 00" + "9" * 38), ("f", "x"), ("g", "9" * 78), ("h", "9" * 79)]
+    t = spark.createDataFrame(rows, "transfer_sid string, amount string")
+    assert tuple(edgelist.dropped_amounts(t).first()) == (8, 4, 2)
+
+
+def test_amounts_of_78_digits_go_through_the_graph_exactly(spark):
+    """One value of 2^256 - 1 a transfer: sums, balance and loops keep every digit."""
+    top, small = 2**256 - 1, 10**12
+    rows = [("t1", "a", "b", str(top)), ("t2", "a", "b", str(top - 1)), ("t3", "b", "a", str(small)), ("t4", "b", "c", str(small - 1)), ("t5", "c", "c", str(10**40)), ("t6", "a", "b", "x")]
+    e = spark.createDataFrame(rows, "transfer_sid string, from_address_sid string, to_address_sid string, amount string").withColumns({"timestamp": F.lit(1), "token_sid": F.lit("k"), "tx_sid": F.lit("x")})
+    kept = edgelist.filter_edges(e)
+    assert sorted(r.transfer_sid for r in kept.collect()) == ["t1", "t2", "t3", "t5"]
+    p = graph.aggregate_edges(kept)
+    assert {(r.from_sid, r.to_sid): r.amount for r in graph.with_amounts(p).collect()} == {("a", "b"): str(2 * top - 1), ("b", "a"): str(small), ("c", "c"): str(10**40)}
+    v = graph.flag_infra(graph.number_vertices(p), spark.createDataFrame([(None,)], "address string"))
+    t = {r.address: r for r in features.assemble(v, graph.numbered_edges(p, v), 2023, 1).collect()}
+    assert (t["a"].total_output_amount, t["a"].balance_proxy, t["b"].balance_proxy) == (str(2 * top - 1), str(small - 2 * top + 1), str(2 * top - 1 - small))
+    assert t["c"].balance_proxy == "0" and t["c"].two_node_loop_amount == 2e40 and t["a"].two_node_loop_amount == float(2 * top - 1 + small)
