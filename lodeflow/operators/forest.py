@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.session import stored
+from lodeflow.sources.tables import spread
 
 #: As in the reference: a tree's sample are all rows up to 100,000.
 TREES, SAMPLE, SEED = 300, 100_000, 42
@@ -121,25 +122,39 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "i
     if not n or not columns:
         return rows.select(key, (F.lit(None) if columns else F.lit(0.0)).cast("double").alias(name))
     psi = min(sample, n)
-    # An arc that holds somewhat more than the sample; then exactly the nearest rows in each tree's task.
-    share = min(1.0, psi / n + 6 * math.sqrt(psi) / n + 1e-9)
+    depth = max(1, math.ceil(math.log2(max(psi, 2))))
     place = F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    if share == 1.0:
-        drawn = F.sequence(F.lit(0), F.lit(trees - 1))
+    spark = df.sparkSession
+
+    def tree(number: int, x: np.ndarray) -> pd.DataFrame:
+        t = grow(x, depth, np.random.default_rng([seed, number]))
+        return pd.DataFrame({"tree": [number], "nodes": [len(t[0])], "data": [packed(t)]})
+
+    kind = "tree int, nodes int, data binary"
+    if n <= sample:
+        # Every tree takes all rows, at most `sample` of them: they are sent once, not copied for each tree.
+        every = whole.withColumn("_u", place).orderBy("_u", key).select(*columns).toPandas().to_numpy(float)
+        held = spark.sparkContext.broadcast(every)
+
+        def plant(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield from (tree(int(i), held.value) for i in b["id"])
+
+        grown = stored(spark.range(0, trees, 1, min(trees, max(1, 2 * spark.sparkContext.defaultParallelism))).mapInPandas(plant, kind), "trees")
+        held.unpersist()
     else:
+        # An arc that holds somewhat more than the sample; then exactly the nearest rows in each tree's task.
+        share = min(1.0, psi / n + 6 * math.sqrt(psi) / n + 1e-9)
         last = F.floor(F.col("_u") * trees)
-        drawn = F.sequence(last - int(share * trees) - 1, last)
-    far = lambda t: F.pmod(F.col("_u") - t / F.lit(float(trees)), F.lit(1.0))
-    chosen = F.transform(drawn, lambda t: F.struct(F.pmod(t, F.lit(trees)).cast("int").alias("tree"), far(t).alias("h")))
-    sampled = whole.withColumn("_u", place).select(key, *columns, F.explode(F.array_distinct(F.filter(chosen, lambda s: s["h"] < F.lit(share + (share == 1.0))))).alias("_s")).select(key, *columns, "_s.tree", "_s.h")
-    depth = max(1, math.ceil(math.log2(max(psi, 2))))
+        drawn = F.sequence(last - min(int(share * trees) + 1, trees - 1), last)
+        far = lambda t: F.pmod(F.col("_u") - t / F.lit(float(trees)), F.lit(1.0))
+        chosen = F.transform(drawn, lambda t: F.struct(F.pmod(t, F.lit(trees)).cast("int").alias("tree"), far(t).alias("h")))
+        sampled = whole.withColumn("_u", place).select(key, *columns, F.explode(F.filter(chosen, lambda s: s["h"] <= F.lit(share))).alias("_s")).select(key, *columns, "_s.tree", "_s.h")
 
-    def train(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["h", key]).head(psi)
-        t = grow(g[columns].to_numpy(float), depth, np.random.default_rng([seed, int(g.tree.iat[0])]))
-        return pd.DataFrame({"tree": [int(g.tree.iat[0])], "nodes": [len(t[0])], "data": [packed(t)]})
+        def train(g: pd.DataFrame) -> pd.DataFrame:
+            return tree(int(g.tree.iat[0]), g.sort_values(["h", key]).head(psi)[columns].to_numpy(float))
 
-    grown = stored(sampled.groupBy("tree").applyInPandas(train, "tree int, nodes int, data binary"), "trees")
+        grown = stored(sampled.groupBy("tree").applyInPandas(train, kind), "trees")
     sizes = sorted((r.tree, r.nodes) for r in grown.select("tree", "nodes").collect())
     norm = float(expected_path(np.array([psi]))[0]) or 1.0
     names = [key, *columns, "_path"]
@@ -158,13 +173,13 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], name: str = "i
 
         return add
 
-    scored = rows.withColumn("_path", F.lit(0.0))
+    scored = spread(rows, key).withColumn("_path", F.lit(0.0))
     held = None
     for first, last in tree_groups(sizes, group_nodes):
         if held is not None:
             scored = stored(scored)
             held.unpersist()
-        held = df.sparkSession.sparkContext.broadcast([bytes(r.data) for r in grown.where(F.col("tree").between(first, last)).orderBy("tree").collect()])
+        held = spark.sparkContext.broadcast([bytes(r.data) for r in grown.where(F.col("tree").between(first, last)).orderBy("tree").collect()])
         scored = scored.mapInPandas(adder(held), schema)
     whole_row = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
     mean = F.col("_path") / F.lit(float(len(sizes)))
