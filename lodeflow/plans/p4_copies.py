@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from lodeflow.streaming.exactly_once import Deduplicated, deduplicate
 
 #: Copies further apart than this go through the look-up.
 DELAY_SECONDS = 10 * 86400
-#: Input of one micro-batch.
-BATCH_BYTES = 16 << 30
+#: Micro-batches of a run, at least, and the input of one, at most.
+BATCHES, BATCH_BYTES = 12, 4 << 30
+FILE_BYTES = 128 << 20
 
 
 def native_key() -> Column:
@@ -22,24 +25,48 @@ def native_key() -> Column:
     return F.concat(chain, F.lit("_"), normalised("transaction_hash"), F.lit("_"), whole_number_text("transfer_index"))
 
 
+def arrivals(spark: SparkSession, d: str, name: str, key: Column, event_time: str, order: str | None, payload: list[str]) -> tuple[DataFrame, int]:
+    """The table as a stream of files in the order of arrival, some for each micro-batch; and the bytes of a batch.
+
+    The table is written once, ranged by arrival (unknown times last), and its
+    files are dated in that order, as the file source reads by date. Where a
+    file system ignores such dates, batches may come in another order; each
+    identifier still comes out once.
+    """
+    rows = table(spark, d, name)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    batches = max(BATCHES, -(-size // BATCH_BYTES))
+    files = max(1, -(-size // batches // FILE_BYTES))
+    order = F.unix_micros(F.col(event_time).cast("timestamp")) if order is None else F.col(order)
+    rows = rows.select(key.alias("key"), F.col(event_time).alias("at"), order.alias("order"), *[F.col(c).alias(f"p_{c}") for c in payload]).where("key IS NOT NULL")
+    path = shared_dir(spark, f"arrivals-{name}")
+    rows.repartitionByRange(batches * files, F.col("at").asc_nulls_last(), F.col("order").asc_nulls_last(), F.xxhash64("key")).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().getName(), f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for i, (_, p) in enumerate(found):
+        fs.setTimes(p, 1_000_000_000_000 + 1000 * i, -1)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "part-*").parquet(path), size // batches
+
+
 def run(spark: SparkSession, d: str, name: str, key: Column, event_time: str, order: str | None, payload: list[str]) -> Deduplicated:
-    """Stream one table through the operator."""
-    schema = table(spark, d, name).schema
-    # As a pattern, since a stream takes a single file by a pattern only.
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{d}/{name}.parque[t]")
-    if order is None:
-        order = "_arrival"
-        stream = stream.withColumn("_arrival", F.unix_micros(F.col(event_time).cast("timestamp")))
-    # State values stay small on any cluster: shards follow the number of shuffle partitions.
-    shards = max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return deduplicate(stream, key, event_time, order, payload, shared_dir(spark, f"dedup-{name}"), DELAY_SECONDS, shards)
+    """Stream one table through the operator, in micro-batches by arrival."""
+    stream, batch_bytes = arrivals(spark, d, name, key, event_time, order, payload)
+    stream = stream.withColumnsRenamed({f"p_{c}": c for c in payload})
+    # A shard's part of a batch and its state stay small whatever the size of the table.
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), batch_bytes // (4 << 20))
+    return deduplicate(stream, F.col("key"), "at", "order", payload, shared_dir(spark, f"dedup-{name}"), DELAY_SECONDS, shards)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    ledger = run(spark, d, "abstract_token_transfer", normalised("transfer_sid"), "ingested_at", None, [])
-    raw = run(spark, d, "raw_native_transfer", native_key(), "delivered_at", "delivery_id", [])
-    named = lambda r, t: r.repeated.select(F.lit(t).alias("table_name"), F.col("_key").alias("transfer_sid"))
-    return named(ledger, "abstract_token_transfer").unionByName(named(raw, "raw_native_transfer"))
+    """Both streams run side by side, as each waits for its batches one after the other."""
+    ledger = lambda: run(spark, d, "abstract_token_transfer", normalised("transfer_sid"), "ingested_at", None, [])
+    raw = lambda: run(spark, d, "raw_native_transfer", native_key(), "delivered_at", "delivery_id", [])
+    with ThreadPoolExecutor(2) as pool:
+        results = [pool.submit(f) for f in (ledger, raw)]
+    named = [r.result().repeated.select(F.lit(t).alias("table_name"), F.col("_key").alias("transfer_sid")) for r, t in zip(results, ("abstract_token_transfer", "raw_native_transfer"), strict=True)]
+    return named[0].unionByName(named[1])
 
 
 RAW = ["delivery_id", "block_number", "transaction_hash", "from_address", "to_address", "value_binary"]
