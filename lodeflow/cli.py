@@ -12,25 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.operators import clean, edgelist, features, graph, score
+from lodeflow.schemas import RAW_BLOCK_COLUMNS, RAW_TRANSFER_COLUMNS
 from lodeflow.session import build_session, ship
 from lodeflow.sources.layout import month_path, read_csv_text, read_table, write_csv, write_table
 
+#: The order of the raw rows.
+ORDER = ("source_file", "source_block", "source_row")
 STAGES = ("clean", "abstract", "graph", "features", "result")
 
 
 def run_clean(spark: SparkSession, root: str, at: tuple) -> None:
-    raw = lambda kind: read_csv_text(spark, month_path(root, f"raw/{at[0]}/{kind}", None, *at[1:]))
-    blocks = raw("blocks")
+    raw = lambda kind, columns: read_csv_text(spark, month_path(root, f"raw/{at[0]}/{kind}", None, *at[1:]), columns)
+    blocks = raw("blocks", RAW_BLOCK_COLUMNS)
     write_table(clean.clean_blocks(blocks), month_path(root, "clean/blocks", *at))
-    transfers = raw("native_transfers")
-    write_table(clean.clean_transfers(transfers, "source_file", "source_row"), month_path(root, "clean/transfers", *at))
+    transfers = raw("native_transfers", RAW_TRANSFER_COLUMNS)
+    write_table(clean.clean_transfers(transfers, *ORDER), month_path(root, "clean/transfers", *at))
     report = clean.drop_report(clean.checked_blocks(blocks), "blocks").unionByName(clean.drop_report(clean.checked_transfers(transfers), "native_transfers"))
     report.orderBy("stage", "what").show(100, truncate=False)
 
 
 def run_abstract(spark: SparkSession, root: str, at: tuple) -> None:
     blocks, t = read_table(spark, month_path(root, "clean/blocks", *at)), read_table(spark, month_path(root, "clean/transfers", *at))
-    order = ("source_file", "source_row")
+    order = ORDER
     made = {"block": clean.abstract_block(blocks), "transaction": clean.abstract_transaction(t, order), "token_transfer": clean.abstract_transfer(t, order), "account": clean.abstract_account(t), "token": clean.abstract_token(spark)}
     for name, df in made.items():
         write_table(df, month_path(root, f"abstract/{name}", *at))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeflow.functions.text import number_or_null
+
 LOWEST_TIME, HIGHEST_TIME = 1_400_000_000, 2_500_000_000
 
 
@@ -54,7 +56,7 @@ def type_check(df: DataFrame, table: str, expected: str) -> DataFrame:
 
 
 def numeric_text(df: DataFrame) -> DataFrame:
-    """column_name, n_values, all_numeric: text columns whose every value is a number."""
+    """column_name, n_values, all_numeric: text columns whose every value is a plain number (12d and 7f are none)."""
     text = [c for c, t in df.dtypes if t == "string"]
-    counts = df.agg(*[F.struct(F.count(c).alias("n"), F.count(F.col(c).try_cast("double")).alias("k")).alias(c) for c in text])
+    counts = df.agg(*[F.struct(F.count(c).alias("n"), F.count(number_or_null(c)).alias("k")).alias(c) for c in text])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c)["n"].alias("n_values"), (F.col(c)["n"] == F.col(c)["k"]).alias("all_numeric")) for c in text])).alias("r")).select("r.*")

@@ -12,7 +12,7 @@ from lodeflow.operators import clean, detect, edgelist, evaluate, features, grap
 from lodeflow.operators.forest import isolation_scores
 from lodeflow.operators.order import average_rank
 from lodeflow.plans import network as N
-from lodeflow.schemas import RULE_TEXTS, SCHEMAS
+from lodeflow.schemas import RAW_TRANSFER_COLUMNS, RULE_TEXTS, SCHEMAS
 from lodeflow.serving import api
 from lodeflow.serving.sqlguard import run_select
 from lodeflow.session import stored
@@ -46,7 +46,7 @@ _CHECKED = f"""ck AS (SELECT *, CASE WHEN block_number IS NULL OR transfer_index
   WHEN NOT (starts_with(lower(trim(transaction_hash)), '0x') AND length(trim(transaction_hash)) = 66) THEN 'transaction_hash'
   WHEN NOT regexp_full_match(lower(trim(from_address)), '0x[0-9a-f]{{40}}') THEN 'from_address' WHEN NOT regexp_full_match(lower(trim(to_address)), '0x[0-9a-f]{{40}}') THEN 'to_address'
   WHEN NOT regexp_full_match(lower(trim(value_binary)), '0x[0-9a-f]{{64}}') THEN 'value_binary' WHEN NOT regexp_full_match(trim(transfer_index), '0*[0-9]{{1,18}}') THEN 'transfer_index'
-  WHEN NOT (regexp_full_match(trim(chain_id), '0*[0-9]{{1,10}}') AND CAST(trim(chain_id) AS BIGINT) <= 2147483647) THEN 'chain_id' END AS reason FROM (SELECT delivery_id, {_RAW} FROM raw_native_transfer))"""
+  WHEN NOT (regexp_full_match(trim(chain_id), '0*[0-9]{{1,10}}') AND coalesce(TRY_CAST(trim(chain_id) AS BIGINT) <= 2147483647, false)) THEN 'chain_id' END AS reason FROM (SELECT delivery_id, {_RAW} FROM raw_native_transfer))"""
 _CLEAN = f"""{_CHECKED}, cl AS (SELECT delivery_id, CAST(floor(CAST(trim(block_number) AS DOUBLE)) AS BIGINT) AS block_number, CAST(trim(transfer_index) AS BIGINT) AS transfer_index, lower(trim(transaction_hash)) AS transaction_hash, lower(trim(from_address)) AS from_address,
   lower(trim(to_address)) AS to_address, lower(trim(value_binary)) AS value_binary, CAST(trim(chain_id) AS INTEGER) AS chain_id FROM ck WHERE reason IS NULL)"""
 
@@ -65,6 +65,28 @@ def clean_rejects(spark, d):
     return clean.reject_counts(clean.checked_transfers(table(spark, d, "raw_native_transfer")))
 
 
+#: Defects put into raw transfers by their delivery_id, so that every reason of cleaning is compared; the last keeps its row, but loses a fraction.
+_DEFECTS = {
+    1: ("block_number", "''"), 2: ("block_number", "'0x' || block_number"), 3: ("block_number", "block_number || 'd'"), 4: ("transaction_hash", "substr(transaction_hash, 1, 60)"), 5: ("from_address", "replace(from_address, '0x', '0y')"),
+    6: ("to_address", "to_address || '0'"), 7: ("value_binary", "'0x5'"), 8: ("transfer_index", "'-1'"), 9: ("chain_id", "'main'"), 10: ("value_binary", "'NaN'"), 11: ("block_number", "'9999'"), 12: ("block_number", "trim(block_number) || '.75'"),
+}
+
+
+def _damaged(column: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN {v}" for k, (c, v) in _DEFECTS.items() if c == column)
+    return f"CASE delivery_id % 40 {cases} ELSE {column} END AS {column}" if cases else column
+
+
+_DAMAGED = ", ".join(("delivery_id", *map(_damaged, RAW_TRANSFER_COLUMNS)))
+
+
+@query(f"WITH raw_native_transfer_damaged AS (SELECT {_DAMAGED} FROM raw_native_transfer), {_CHECKED.replace('FROM raw_native_transfer)', 'FROM raw_native_transfer_damaged)')} SELECT coalesce(reason, 'kept') AS reject_reason, count(*) AS n_rows FROM ck GROUP BY 1")
+def clean_reject_reasons(spark, d):
+    """Reasons of cleaning over transfers with defects put in: every reason occurs."""
+    raw = table(spark, d, "raw_native_transfer", "delivery_id", *RAW_TRANSFER_COLUMNS).selectExpr("delivery_id", *map(_damaged, RAW_TRANSFER_COLUMNS))
+    return clean.reject_counts(clean.checked_transfers(raw))
+
+
 @query()
 def clean_blocks(spark, d):
     """Clean blocks from files whose schemas drift."""
@@ -410,12 +432,20 @@ def quality_ranges(spark, d):
     return _union([quality.range_check(table(spark, d, "abstract_block"), "abstract_block", "timestamp"), quality.domain_check(t, "abstract_token_transfer", "token_sid", ["1_native"]), quality.amount_check(t, "abstract_token_transfer", "amount")])
 
 
-@query()
+_CAST = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "TIMESTAMP": "timestamp"}
+_TYPES = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c.split()[0]}' AS column_name, '{c.split()[1]}' AS expected, CASE any_value(typeof(\"{c.split()[0]}\")) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _CAST.items())} END AS actual FROM {t}" for t, s in SCHEMAS.items() for c in s.split(", "))
+
+
+@query(f"SELECT *, expected = actual AS ok FROM ({_TYPES})")
 def quality_types(spark, d):
     return _union([quality.type_check(table(spark, d, t), t, s) for t, s in SCHEMAS.items()])
 
 
-@query()
+_RAW_TEXT = ("batch_id", "block_number", "transfer_index", "transaction_hash", "from_address", "to_address", "value_binary", "chain_id")
+_PLAIN_NUMBER = "regexp_full_match(trim({c}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values, count({c}) = count(*) FILTER ({_PLAIN_NUMBER.format(c=c)}) AS all_numeric FROM raw_native_transfer" for c in _RAW_TEXT))
 def numeric_text_columns(spark, d):
     return quality.numeric_text(table(spark, d, "raw_native_transfer"))
 
