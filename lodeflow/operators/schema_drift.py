@@ -1,13 +1,18 @@
 """Schemas that drift between files: one table of all records, and a report of each change.
 
-The schema of a file is a tree: a root with one node per key (keys of nested
-objects below their parent's). A minimum-cost edit script turns it into the
-tree of the target schema; its costs are those of the tree edit distance with
-unit deletes and inserts, renames by unlikeness of name and values, and moves
-for a key found at another depth. A script is compiled into a projection (target field
-<- key) that is applied to all records of the file. Scripts depend on one file
-only, so files are handled in parallel; successive files of a feed are then
-compared by window functions over (feed, field), never as a group.
+The schema of a file is a tree: a root with one node per key, keys of nested
+objects below their parent's. Two kinds of edit scripts are worked out by the
+tree edit distance of tree_distance.py:
+
+* from a file's tree to the tree of the target schema. It says which quantity a
+  key stands for and is compiled into a projection (target field <- key) that is
+  applied to all records of the file;
+* from the tree of a feed's previous file to that of the file. Its inserts,
+  deletes, renames and moves are the changes reported. Leaves that stand for the
+  same quantity may be renamed into each other, others may not.
+
+Scripts depend on one file or on two successive ones, so they are found in
+parallel, once for each distinct pair of schemas of a batch.
 """
 
 from __future__ import annotations
@@ -22,6 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeflow.functions.uint256 import hex_to_text
+from lodeflow.operators.tree_distance import DELETE, INSERT, Node, edit_script, tree_of
+from lodeflow.session import stored
+
 #: The raw block header.
 BLOCK_FIELDS = (
     "block_hash", "parent_hash", "uncles_hash", "author", "state_root", "transactions_root", "receipts_root", "block_number",
@@ -46,7 +55,6 @@ NOISE = frozenset("of the block pow wei in at field value prev fee_recipient hea
 #: Words that may stand for each other.
 ALIKE = (frozenset({"root", "hash"}),)
 
-ADD, DELETE, MOVE = 1.0, 1.0, 0.2
 #: A rename must be cheaper than a delete and an insert by a clear margin.
 RENAME_LIMIT = 0.75
 
@@ -96,9 +104,8 @@ def _vocabulary() -> frozenset[str]:
 def rename_cost(path: str, shape: str, field: str) -> float:
     """0 for the same name, under RENAME_LIMIT for another name of the same quantity, else more."""
     name = path.rsplit(".", 1)[-1]
-    moved = MOVE * (path.count(".") > 0)
     if name == field:
-        return moved
+        return 0.0
     mine, theirs = words(name), words(field)
     unknown = [w for w in mine if w not in _vocabulary() and not (w in ("fee",) and field == "author")]
     if unknown:
@@ -113,62 +120,32 @@ def rename_cost(path: str, shape: str, field: str) -> float:
         left = left - {"fee"}
     if not both or (shape == "address") != (field == "author"):
         return 2.0
-    return moved + 0.1 + 1.2 * (1 - 2 * len(both) / (2 * len(both) + len(left) + len(right)))
+    return 0.1 + 1.2 * (1 - 2 * len(both) / (2 * len(both) + len(left) + len(right)))
 
 
-def edit_script(nodes: tuple[tuple[str, str], ...], target: tuple[str, ...] = BLOCK_FIELDS) -> dict[str, str]:
-    """The renames (path -> field) of a minimum-cost script from a file's nodes (path, shape) to the target tree.
+@functools.cache
+def _target_tree(target: tuple[str, ...]) -> Node:
+    return tree_of(dict.fromkeys(target))
 
-    Paths not in it are deleted from the target's point of view, fields not in
-    it inserted. Equal names cost nothing and are settled first; the rest is a
-    minimum-cost assignment, solved exactly by shortest augmenting paths.
-    """
-    names = {p for p, _ in nodes}
-    settled = {f: f for f in target if f in names}
-    free = sorted((p, s) for p, s in nodes if p not in settled)
-    fields = [f for f in target if f not in settled]
-    cost = [[rename_cost(p, s, f) for f in fields] for p, s in free]
-    rows = [i for i, r in enumerate(cost) if r and min(r) < RENAME_LIMIT]
-    found = dict(settled)
-    for i, j in _assign([[c if c < RENAME_LIMIT else DELETE + ADD for c in cost[i]] for i in rows]):
-        if cost[rows[i]][j] < RENAME_LIMIT:
-            found[free[rows[i]][0]] = fields[j]
-    return found
-
-
-def _assign(cost: list[list[float]]) -> list[tuple[int, int]]:
-    """Minimum-cost assignment of rows to columns; columns are padded so that each row finds one."""
-    if not cost:
-        return []
-    n, m = len(cost), len(cost[0]) + len(cost)
-    padded = [r + [ADD + DELETE] * n for r in cost]
-    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
-        while True:
-            used[j0] = True
-            i0, delta, j1 = owner[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    c = padded[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[owner[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-            if not owner[j0]:
-                break
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    return [(owner[j] - 1, j - 1) for j in range(1, len(cost[0]) + 1) if owner[j]]
+
+def target_script(nodes: tuple[tuple[str, str], ...], target: tuple[str, ...] = BLOCK_FIELDS) -> dict[str, str]:
+    """Path -> field for the leaves that stand for a field of the target, by the script from a file's tree (path, shape) to the target's."""
+
+    def cost(x: Node, y: Node) -> float:
+        c = rename_cost(x.path, x.data, y.path)
+        return c if c < RENAME_LIMIT else INSERT + DELETE
+
+    _, ops = edit_script(tree_of(dict(nodes)), _target_tree(target), cost)
+    return {x: y for op, x, y in ops if op in ("keep", "rename", "move")}
+
+
+def file_script(before: tuple[tuple[str, str], ...], after: tuple[tuple[str, str], ...]) -> list[tuple[str, str | None, str | None]]:
+    """The script from one file's tree to the next one's. Leaves: path and what it stands for (equal texts: the same quantity)."""
+
+    def cost(x: Node, y: Node) -> float:
+        return INSERT + DELETE if x.data != y.data else 0.0 if x.path == y.path else 0.3
+
+    return edit_script(tree_of(dict(before)), tree_of(dict(after)), cost)[1]
 
 
 def _nodes(obj: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -199,7 +176,7 @@ def _profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @functools.lru_cache(maxsize=4096)
 def _script(nodes: tuple[tuple[str, str], ...]) -> dict[str, str]:
-    return edit_script(nodes)
+    return target_script(nodes)
 
 
 def _scripts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,6 +189,23 @@ def _scripts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["feed", "file_seq", "path", "field", "in_target", "form", "spelling"])
 
 
+_compare = functools.lru_cache(maxsize=4096)(file_script)
+#: What the operations of a script are called in the report.
+CHANGES = {"insert": "added", "delete": "removed", "rename": "renamed", "move": "renamed"}
+
+
+def _differences(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The changes of each file against its predecessor, by the script between their trees."""
+    for b in batches:
+        out = []
+        for feed, seq, before, after in zip(b.feed, b.file_seq, b.before, b.after, strict=True):
+            trees = [tuple(sorted((x["path"], x["thing"]) for x in side)) if side is not None else () for side in (before, after)]
+            if trees[0] != trees[1]:
+                field = {x["path"]: x["field"] for side in (before, after) if side is not None for x in side}
+                out += [(feed, seq, field[y or x], CHANGES[op]) for op, x, y in _compare(*trees) if op in CHANGES]
+        yield pd.DataFrame(out, columns=["feed", "file_seq", "field", "change"])
+
+
 def file_fields(records: DataFrame) -> DataFrame:
     """feed, file_seq, path, field, in_target, form, spelling: each file's fields, named as in the target, with their usual form.
 
@@ -232,77 +226,108 @@ def file_fields(records: DataFrame) -> DataFrame:
 def changes(records: DataFrame) -> DataFrame:
     """feed, file_seq, field, change: one row per change of a file against the feed's previous file.
 
-    change: added, removed, renamed, retyped. The first file of a feed has none.
-    A file without any readable record still counts as a file (all its fields
-    are removed). A file in which a field is NULL throughout leaves its form as
-    it was; after an absence the form starts anew. A key outside the target is
-    renamed if the feed's files spell the same words otherwise, unless one of
-    them has two such keys side by side.
+    change: added, removed, renamed (moves to another depth included), retyped.
+    The first file of a feed has none. A file without any readable record still
+    counts as a file (all its fields are removed). A file in which a field is
+    NULL throughout leaves its form as it was; after an absence the form starts
+    anew. Keys stand for the same quantity if their scripts name the same field
+    of the target; outside the target, if they spell the same words, unless a
+    file of the feed has two such keys side by side.
     """
     of_words = Window.partitionBy("feed", "in_target", "spelling")
     beside = F.max(F.col("_twin")).over(of_words)
     thing = F.when(F.col("in_target"), F.concat(F.lit("="), "field")).when((F.col("spelling") != "") & ~beside, F.concat(F.lit("~"), "spelling")).otherwise(F.concat(F.lit("-"), "path"))
     twin = F.coalesce(F.lag("file_seq").over(of_words.orderBy("file_seq")) == F.col("file_seq"), F.lit(False))
-    fields = file_fields(records).withColumn("_twin", twin).withColumn("_thing", thing)
+    # Stored: a few rows per file, of which both reports are made.
+    fields = stored(file_fields(records).withColumn("_twin", twin).withColumn("thing", thing), "fields")
     in_feed = Window.partitionBy("feed").orderBy("file_seq")
-    files = records.select("feed", "file_seq").distinct().select("*", F.lag("file_seq").over(in_feed).alias("_before"), F.lead("file_seq").over(in_feed).alias("_after"))
-    of_field = Window.partitionBy("feed", "_thing").orderBy("file_seq")
-    rows = fields.join(files, ["feed", "file_seq"]).select(
-        "feed", "file_seq", "field", "_thing", "path", "form", "_before", "_after",
-        F.lag("file_seq").over(of_field).alias("_last"), F.lead("file_seq").over(of_field).alias("_next"), F.lag("path").over(of_field).alias("_path"),
-    )
-    goes_on = F.col("_last").isNotNull() & F.col("_before").isNotNull() & (F.col("_last") == F.col("_before"))
-    rows = rows.withColumn("_goes_on", goes_on).withColumn("_run", F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(of_field.rowsBetween(Window.unboundedPreceding, 0)))
-    in_run = Window.partitionBy("feed", "_thing", "_run").orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_form", F.last("form", ignorenulls=True).over(in_run))
-
-    def when(cond: Column, seq: str, change: str) -> Column:
-        return F.when(cond, F.struct(F.col(seq).alias("file_seq"), F.lit(change).alias("change")))
-
-    found = F.array(
-        when(F.col("_before").isNotNull() & ~F.col("_goes_on"), "file_seq", "added"),
-        when(F.col("_goes_on") & (F.col("path") != F.col("_path")), "file_seq", "renamed"),
-        when(F.col("_goes_on") & (F.col("form") != F.col("_form")), "file_seq", "retyped"),
-        when(F.col("_after").isNotNull() & (F.col("_next").isNull() | (F.col("_next") != F.col("_after"))), "_after", "removed"),
-    )
-    return rows.select("feed", "field", F.explode(F.array_compact(found)).alias("_c")).select("feed", "_c.file_seq", "field", "_c.change")
-
-
-#: Fields that hold whole numbers, and those that hold bytes.
-NUMBERS = ("block_number", "gas_used", "gas_limit", "timestamp", "difficulty", "total_difficulty_string", "size", "base_fee_per_gas", "chain_id")
-BYTES = ("withdrawals_root", "total_difficulty_binary", "extra_data")
+    files = records.select("feed", "file_seq").distinct()
+    trees = files.join(fields.groupBy("feed", "file_seq").agg(F.collect_list(F.struct("path", "thing", "field")).alias("after")), ["feed", "file_seq"], "left")
+    pairs = trees.select("feed", "file_seq", F.lag("file_seq").over(in_feed).alias("_b"), F.lag("after").over(in_feed).alias("before"), "after").where("_b IS NOT NULL").drop("_b")
+    schema = "feed string, file_seq bigint, field string, change string"
+    differences = pairs.mapInPandas(_differences, schema)
+
+    numbered = files.select("*", F.row_number().over(in_feed).alias("_n"))
+    of_field = Window.partitionBy("feed", "thing").orderBy("_n")
+    rows = fields.join(numbered, ["feed", "file_seq"]).select("feed", "file_seq", "field", "thing", "form", "_n", (F.col("_n") - F.row_number().over(of_field)).alias("_run"))
+    in_run = Window.partitionBy("feed", "thing", "_run").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    retyped = rows.withColumn("_form", F.last("form", ignorenulls=True).over(in_run)).where("form <> _form").select("feed", "file_seq", "field", F.lit("retyped").alias("change"))
+    return differences.unionByName(retyped)
+
+
+#: Fields that hold whole numbers, with their types, those that hold bytes, and bytes that are a number.
+NUMBERS = {
+    "block_number": "bigint", "gas_used": "bigint", "gas_limit": "bigint", "timestamp": "bigint", "difficulty": "decimal(38,0)", "total_difficulty_string": "decimal(38,0)", "size": "bigint", "base_fee_per_gas": "decimal(38,0)", "chain_id": "bigint",
+}
+BYTES = ("withdrawals_root", "extra_data")
+NUMBER_BYTES = ("total_difficulty_binary",)
+DOUBLES = ("total_difficulty_f64",)
+
+
+def _from_hex(v: Column) -> Column:
+    """decimal(38,0) of '0x' and up to 64 hex digits; NULL beyond its range or for other texts."""
+    return F.when(v.rlike("^0[xX][0-9a-fA-F]{1,64}$"), hex_to_text(F.concat(F.lit("0x"), F.substring(v, 3, 64))).try_cast("decimal(38,0)"))
 
 
 def _number(v: Column) -> Column:
-    """Whole-number text of a decimal, hexadecimal or real number, or the epoch seconds of a time; other texts as they are."""
-    hexed = F.when(v.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(v, 3, 16), 16, 10))
-    real = F.when(v.rlike(r"^[0-9]+(\.[0-9]+)?([eE][+]?[0-9]+)?$"), F.floor(v.try_cast("decimal(38,4)")).cast("string"))
-    when = F.when(v.rlike(r"^\d{4}-\d\d-\d\dT"), F.unix_seconds(v.try_cast("timestamp")).cast("string"))
-    return F.coalesce(hexed, F.when(v.rlike("^[0-9]+$"), v), real, when, v)
+    """decimal(38,0) of a decimal, hexadecimal or real number, or the epoch seconds of a time; NULL for others and for real numbers of 16 digits or more, which have lost some."""
+    real = v.try_cast("double")
+    whole = F.when(v.rlike("^[0-9]{1,38}$"), v.try_cast("decimal(38,0)"))
+    exact = F.when(v.rlike(r"^[0-9]+(\.[0-9]+)?([eE][+]?[0-9]+)?$") & (real < 1e15), F.floor(real).cast("decimal(38,0)"))
+    when = F.when(v.rlike(r"^\d{4}-\d\d-\d\dT"), F.unix_seconds(v.try_cast("timestamp")).cast("decimal(38,0)"))
+    return F.coalesce(_from_hex(v), whole, exact, when)
 
 
 def _bytes(v: Column) -> Column:
-    """0x text of bytes given as hexadecimal, as a list of its pieces or in base 64; numbers as they are."""
+    """0x text in lower case of bytes given as hexadecimal, as a list of its pieces or in base 64; NULL for others."""
     pieces = F.when(v.startswith("["), F.array_join(F.from_json(v, "array<string>"), ""))
-    base64 = F.when(v.rlike(r"^[A-Za-z0-9+/]{20,}={0,2}$") & ~v.rlike("^[0-9]+$") & (F.length(v) % 4 == 0), F.concat(F.lit("0x"), F.lower(F.hex(F.unbase64(v)))))
-    return F.coalesce(pieces, base64, v)
+    base64 = F.when(v.rlike(r"^[A-Za-z0-9+/]{20,}={0,2}$") & ~v.rlike("^[0-9]+$") & (F.length(v) % 4 == 0), F.concat(F.lit("0x"), F.hex(F.unbase64(v))))
+    found = F.lower(F.coalesce(pieces, base64, v))
+    return F.when(found.rlike("^0x[0-9a-f]*$"), found)
+
+
+def _number_bytes(v: Column) -> Column:
+    """0x text, without zeros ahead, of a number given as bytes or as whole number; NULL where digits were lost."""
+    n = _number(v)
+    two64 = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    high, low = ((n - n % two64) / two64).cast("decimal(20,0)").cast("string"), (n % two64).cast("decimal(20,0)").cast("string")
+    made = F.when(n.isNotNull(), F.lower(F.concat(F.conv(high, 10, 16), F.lpad(F.conv(low, 10, 16), 16, "0"))))
+    hexed = F.coalesce(F.substring(_bytes(v), 3, 200), made)
+    return F.when(hexed.isNotNull(), F.concat(F.lit("0x"), F.regexp_replace(hexed, "^0+(?=.)", "")))
 
 
 def consolidate(records: DataFrame) -> DataFrame:
-    """file_seq, feed, file_name, record_no, the target's fields as text, and other (map of all other keys).
+    """file_seq, feed, file_name, record_no, the target's fields, and other (map of all other keys).
 
     Every record comes out once, by the projection its file's script compiles
-    to; a record that is no JSON object has only NULLs. Whole numbers are
-    written as such and bytes as 0x text, whichever form the file uses.
+    to; a record that is no JSON object has only NULLs. Each field has one type
+    and one form, whichever the file uses: whole numbers as bigint or
+    decimal(38,0), total_difficulty_f64 as double, bytes as lower-case 0x text,
+    all else as text. A value that can't be brought into its field's form (a
+    real number that has lost digits, say) is NULL there and in `other` under
+    the field's name and "!".
     """
     projection = file_fields(records).where("in_target").groupBy("feed", "file_seq").agg(F.map_from_entries(F.collect_list(F.struct("field", "path"))).alias("_keys"))
     rows = records.select("file_seq", "feed", "file_name", "record_no", "record").join(projection, ["feed", "file_seq"], "left").withColumn("_r", F.from_json("record", "map<string,string>"))
 
-    def value(field: str) -> Column:
+    def raw(field: str) -> Column:
         key = F.element_at("_keys", F.lit(field))
-        v = F.coalesce(F.element_at("_r", key), F.when(key.contains("."), F.call_function("get_json_object", F.col("record"), F.concat(F.lit("$."), key))))
-        return (_number(v) if field in NUMBERS else _bytes(v) if field in BYTES else v).alias(field)
+        return F.coalesce(F.element_at("_r", key), F.when(key.contains("."), F.call_function("get_json_object", F.col("record"), F.concat(F.lit("$."), key))))
+
+    rows = rows.withColumn("_v", F.struct(*[raw(f).alias(f) for f in BLOCK_FIELDS]))
 
+    def value(field: str) -> Column:
+        v = F.col(f"_v.{field}")
+        if field in NUMBERS:
+            return _number(v).try_cast(NUMBERS[field])
+        if field in DOUBLES:
+            return v.try_cast("double")
+        return _number_bytes(v) if field in NUMBER_BYTES else _bytes(v) if field in BYTES else v
+
+    formed = [f for f in BLOCK_FIELDS if f in NUMBERS or f in BYTES or f in NUMBER_BYTES or f in DOUBLES]
     used = F.map_values("_keys")
     other = F.map_filter("_r", lambda k, _: ~F.coalesce(F.array_contains(used, k), F.lit(False)))
-    return rows.select("file_seq", "feed", "file_name", "record_no", *[value(f) for f in BLOCK_FIELDS], other.alias("other"))
+    lost = F.filter(F.array(*[F.when(F.col(f).isNull() & F.col(f"_v.{f}").isNotNull(), F.struct(F.lit(f"{f}!").alias("key"), F.col(f"_v.{f}").alias("value"))) for f in formed]), lambda x: x.isNotNull())
+    rows = rows.select("file_seq", "feed", "file_name", "record_no", "_v", other.alias("other"), *[value(f).alias(f) for f in BLOCK_FIELDS])
+    both = F.when(F.size(lost) > 0, F.map_concat("other", F.map_from_entries(lost))).otherwise(F.col("other"))
+    return rows.select("file_seq", "feed", "file_name", "record_no", *BLOCK_FIELDS, both.alias("other"))

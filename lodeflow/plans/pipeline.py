@@ -12,7 +12,7 @@ from lodeflow.operators import clean, detect, edgelist, evaluate, features, grap
 from lodeflow.operators.forest import isolation_scores
 from lodeflow.operators.order import average_rank
 from lodeflow.plans import network as N
-from lodeflow.schemas import RAW_TRANSFER_COLUMNS, RULE_TEXTS, SCHEMAS
+from lodeflow.schemas import RAW_BLOCK_COLUMNS, RAW_TRANSFER_COLUMNS, RULE_TEXTS, SCHEMAS
 from lodeflow.serving import api
 from lodeflow.serving.sqlguard import run_select
 from lodeflow.session import stored
@@ -92,7 +92,7 @@ def clean_blocks(spark, d):
     """Clean blocks from files whose schemas drift."""
     from lodeflow.plans.p2_drift import p2_blocks
 
-    return clean.clean_blocks(p2_blocks(spark, d))
+    return clean.clean_blocks(p2_blocks(spark, d).select(*[F.col(c).cast("string").alias(c) for c in RAW_BLOCK_COLUMNS]))
 
 
 @query(f"WITH {N.NETWORK_SQL} SELECT DISTINCT concat('1_', CAST(block_number AS VARCHAR)) AS block_sid, block_number, CAST({N.FIRST_TIME} + {N.BLOCK_SECONDS} * (block_number - {N.FIRST_BLOCK}) AS BIGINT) AS \"timestamp\" FROM raw")
