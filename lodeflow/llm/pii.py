@@ -3,15 +3,20 @@
 Each candidate of pii_patterns is a node with the labels real and not real. Its
 potential is a log-linear function of its form, its letters and its
 surroundings. Linear edges join neighbours on a line; skip edges join distant
-candidates of a document with the same surname, number or street, so that a
-mention in a telling place helps one in a bare place. Marginals come from loopy
-belief propagation; candidates above one half are kept.
-
-Given names and common words are counted over all documents. The weights are
-trained where the operator runs: on a sample of documents of bounded size, labelled by the few places that are sure (a field named
-"holder", "phone" and so on; words too common to be a surname). Parts of the
-features are dropped in turn while training, so that forms and letters learn
-from places and the other way round.
+candidates of a document that repeat each other or are similar: the same text,
+the same surname, number or street with another given name, prefix or house
+number, and a surname that an e-mail address contains. A mention in a telling
+place thus helps one in a bare place. Marginals come from loopy belief
+propagation; candidates above one half are kept.
+
+Given names and common words are counted over all documents. The weights of
+nodes and edges are fitted together, by pseudo-likelihood, where the operator
+runs: on a sample of documents of bounded size, labelled by the few places that
+are sure (a field named "holder", "phone" and so on; words too common to be a
+surname). A node's neighbours count with their labels or, where those are not
+known, with their marginals under the weights of the round before. Parts of the
+features are left out in turn, so that forms, letters, places and edges each
+learn to decide without the others.
 """
 
 from __future__ import annotations
@@ -50,6 +55,7 @@ NEVER = {
     IDENTITY: (re.compile(r"(?:\border no\. |\bchecksum |\blot |\bisbn |\brun #|\bheight |\bwindow |\bto |\w ?[=+*<>]=? )$", re.IGNORECASE), None),
 }
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+_LETTERS_ONLY = re.compile(r"[\W\d_]+")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -60,8 +66,8 @@ class Model:
     common: frozenset[str] = frozenset()
     #: How often each given name stands in a sure place.
     counts: Mapping[str, int] = field(default_factory=dict)
-    chain: float = 0.0
-    skip: float = 0.0
+    #: Log-odds of equal labels for each type of edge.
+    links: Mapping[str, float] = field(default_factory=dict)
     _trie: object = None
 
     @property
@@ -191,40 +197,76 @@ def corpus_words(docs: DataFrame, text: str) -> tuple[frozenset[str], frozenset[
     return frozenset(r.g for r in given.select("g").collect()), common
 
 
-def fit_weights(rows: list[tuple[list[str], list[str], int]], rounds: int = 120, ridge: float = 1.0) -> dict[str, float]:
-    """Logistic regression over (own features, surroundings, label), with either part dropped in turn."""
+#: Types of edges: neighbours on a line, the same text, something similar, a surname and an e-mail address with it.
+LINKS = ("near", "same", "similar", "mail")
+#: Which parts of a node's potential a training row has: own features, surroundings, edges.
+PARTS = ((1, 1, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 0, 0), (0, 1, 0))
+MOST_LINK = 4.0
+
+
+def fit_weights(rows: list[tuple[list[str], list[str], Sequence[float], int]], rounds: int = 120, ridge: float = 1.0) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of features and of edge types by logistic regression over (own features, surroundings, pull of the neighbours by type, label).
+
+    With the neighbours' labels given, this is the pseudo-likelihood of the field.
+    """
     index: dict[str, int] = {}
-    flat, at, y = [], [], []
-    for own, around, label in rows:
-        for part in (own + around, own, around):
+    flat, at, pulls, y = [], [], [], []
+    for own, around, pull, label in rows:
+        for parts in PARTS:
+            if parts[2] and not any(pull) and parts != (1, 1, 1):
+                continue
             at.append(len(flat))
-            flat += [index.setdefault(f, len(index)) for f in part]
+            flat += [index.setdefault(f, len(index)) for f in (own if parts[0] else own[1:2]) + (around if parts[1] else [])]
+            pulls.append(pull if parts[2] else (0.0,) * len(LINKS))
             y.append(label)
     if not y or len(set(y)) < 2:
-        return {}
-    f, start, y = np.array(flat), np.array(at), np.array(y, dtype=float)
+        return {}, {}
+    f, start, x, y = np.array(flat), np.array(at), np.array(pulls, dtype=float), np.array(y, dtype=float)
     row = np.repeat(np.arange(len(y)), np.diff([*start, len(f)]))
     w, scale = np.zeros(len(index)), np.full(len(index), 1e-6)
+    v, vscale = np.zeros(len(LINKS)), np.full(len(LINKS), 1e-6)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[f], start), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[f], start) + x @ v, -30, 30)))
         g = np.bincount(f, weights=(p - y)[row], minlength=len(index)) + ridge * w
         scale += g * g
         w -= 0.5 * g / np.sqrt(scale)
-    return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-3}
+        g = x.T @ (p - y) + ridge * v
+        vscale += g * g
+        # Edges attract; a bound keeps one pair from outweighing everything.
+        v = np.clip(v - 0.5 * g / np.sqrt(vscale), 0.0, MOST_LINK)
+    return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-3}, dict(zip(LINKS, map(float, v), strict=True))
 
 
-def edges(text: str, found: Sequence[Candidate]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Linear edges between neighbours on a line, and skip edges along mentions of the same thing."""
-    near, last = [], {}
-    skip = []
+def _keys(c: Candidate, shown: str) -> list[tuple[str, object]]:
+    """What a candidate shares with those it is linked to, by type of edge."""
+    keys = [("same", (c.kind, shown))]
+    if c.kind == NAME:
+        keys += [("similar", c.core.rpartition(" ")[2]), ("mail", c.core.rpartition(" ")[2].rpartition("-")[2])]
+    elif c.kind in (PHONE, IDENTITY):
+        keys.append(("similar", c.core[-7:]))
+    elif c.kind == ADDRESS:
+        keys.append(("similar", _LETTERS_ONLY.sub(" ", c.core).strip()))
+    else:
+        keys += [("mail", w) for w in set(_LETTERS.findall(c.core.partition("@")[0])) if len(w) > 2]
+    return keys
+
+
+def edges(text: str, found: Sequence[Candidate]) -> list[tuple[int, int, str]]:
+    """Linear edges between neighbours on a line, and skip edges to the last mention of the same or of something similar."""
+    out, last = [], {}
     for i, c in enumerate(found):
-        if i and found[i - 1].end <= c.start and c.start - found[i - 1].end < 80 and "\n" not in text[found[i - 1].end : c.start]:
-            near.append((i - 1, i))
-        thing = (c.kind, c.core.rpartition(" ")[2] if c.kind == NAME else c.core)
-        if thing in last:
-            skip.append((last[thing], i))
-        last[thing] = i
-    return near, skip
+        b = found[i - 1] if i else None
+        if b and b.end <= c.start and c.start - b.end < 80 and "\n" not in text[b.end : c.start]:
+            out.append((i - 1, i, "near"))
+        joined: set[int] = set()
+        for kind, key in _keys(c, text[c.start : c.end].lower()):
+            other = last.get((kind, key))
+            # Forms that overlap are readings of one mention, not two mentions.
+            if other is not None and other not in joined and found[other].end <= c.start and (kind != "mail" or (found[other].kind == EMAIL) != (c.kind == EMAIL)):
+                out.append((other, i, kind))
+                joined.add(other)
+            last[kind, key] = i
+    return out
 
 
 def _softplus(x: float) -> float:
@@ -252,40 +294,51 @@ def marginals(logits: Sequence[float], links: Sequence[tuple[int, int, float]],
     return [1 / (1 + math.exp(-max(-30.0, min(30.0, b)))) for b in beliefs]
 
 
-def _logit(text: str, c: Candidate, model: Model) -> float:
-    own, around = features(text, c, model)
+def _score(feats: tuple[list[str], list[str]], model: Model) -> float:
     w = model.weights
-    return sum(w.get(f, 0.0) for f in own) + sum(w.get(f, 0.0) for f in around)
+    return sum(w.get(f, 0.0) for part in feats for f in part)
 
 
-def _link_weight(pairs: Counter) -> float:
-    """Log-odds of equal labels among linked candidates, from 0 to 3."""
-    same, other = pairs[0, 0] + pairs[1, 1], pairs[0, 1] + pairs[1, 0]
-    return float(np.clip(np.log((same + 1) / (other + 1)), 0.0, 3.0))
+def _logit(text: str, c: Candidate, model: Model) -> float:
+    return _score(features(text, c, model), model)
+
 
+def _pulls(n: int, links: Sequence[tuple[int, int, str]], p: Sequence[float]) -> list[list[float]]:
+    """For each node and type of edge, how far its neighbours are for 1 rather than 0."""
+    out = [[0.0] * len(LINKS) for _ in range(n)]
+    for i, j, kind in links:
+        k = LINKS.index(kind)
+        out[i][k] += 2 * p[j] - 1
+        out[j][k] += 2 * p[i] - 1
+    return out
 
-def train(texts: Sequence[str], words: tuple[Mapping[str, int], frozenset[str]] | None = None) -> Model:
+
+def train(texts: Sequence[str], words: tuple[Mapping[str, int], frozenset[str]] | None = None, rounds: int = 3) -> Model:
     """A model from unlabelled texts (one that goes by forms alone, if there are none). words: given names with their counts and common words, else those of the texts."""
     given, common = harvest_counts(texts) if words is None else words
     model = Model(lexicon=frozenset(given), common=common, counts=given)
-    rows, docs = [], []
+    docs = []
     for t in texts:
         found = candidates(t, model.trie, model.lexicon)
-        labels = [sure_label(t, c, model) for c in found]
-        rows += [(*features(t, c, model), y) for c, y in zip(found, labels, strict=True) if y is not None]
         if found:
-            docs.append((t, found, labels))
-    model.weights = fit_weights(rows)
+            docs.append((edges(t, found), [features(t, c, model) for c in found], [sure_label(t, c, model) for c in found]))
+    for turn in range(rounds):
+        rows = []
+        for links, feats, labels in docs:
+            if not any(y is not None for y in labels):
+                continue
+            # In the first round, neighbours without a label don't pull.
+            logits = [_score(f, model) for f in feats]
+            held = [12.0 * (2 * y - 1) if y is not None else x for x, y in zip(logits, labels, strict=True)]
+            p = marginals(held, [(i, j, model.links.get(k, 0.0)) for i, j, k in links]) if turn else [0.5 if y is None else y for y in labels]
+            pulls = _pulls(len(feats), links, p)
+            rows += [(*f, x, y) for f, x, y in zip(feats, pulls, labels, strict=True) if y is not None]
+        weights, ties = fit_weights(rows)
+        if not weights:
+            break
+        model.weights, model.links = weights, ties
     if not model.weights:
         model.weights = {k[0] + ":": 1.0 for k in (EMAIL, PHONE, IDENTITY, ADDRESS)}
-    near, skip = Counter(), Counter()
-    for t, found, labels in docs:
-        guess = [int(_logit(t, c, model) > 0) if y is None else y for c, y in zip(found, labels, strict=True)]
-        a, b = edges(t, found)
-        near.update((guess[i], guess[j]) for i, j in a)
-        skip.update((guess[i], guess[j]) for i, j in b)
-    # Neighbours share a line, not an identity: their tie counts by half.
-    model.chain, model.skip = _link_weight(near) / 2, _link_weight(skip)
     return model
 
 
@@ -294,8 +347,7 @@ def find(text: str, model: Model) -> list[Candidate]:
     found = candidates(text, model.trie, model.lexicon)
     if not found:
         return []
-    near, skip = edges(text, found)
-    links = [(i, j, model.chain) for i, j in near if model.chain] + [(i, j, model.skip) for i, j in skip if model.skip]
+    links = [(i, j, model.links[k]) for i, j, k in edges(text, found) if model.links.get(k)]
     logits = [_logit(text, c, model) for c in found]
     # A message is never stronger than its link: where all nodes outweigh their links, no label can change.
     pull = [0.0] * len(found)

@@ -70,6 +70,7 @@ _INITIALS_BEFORE_RE = re.compile(r"(?<![\w.@-])(?<!\w['’])(?:[^\W\d_]\. ?){0,2
 _FIRST_SUR_RE = re.compile(rf"({_SUR})(?![\w@(=])", re.IGNORECASE)
 _LAST_INITIALS_RE = re.compile(r", [^\W\d_a-zà-ÿ]\.(?: [^\W\d_a-zà-ÿ]\.)?(?![\w.])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_CAPITAL_BEFORE_RE = re.compile(r"(?<![\w@.'’+-])([^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]{1,24})$")
 _WORD_CHAR = re.compile(r"[\w@]")
 
 
@@ -171,6 +172,25 @@ def names(text: str, low: str, given, lexicon: frozenset[str]) -> list[Candidate
         before = _BEFORE_RE.search(text, max(0, m.start() - 62), m.start() + 2)
         if before:
             out.append(Candidate(before.start(), m.end(), NAME, "reversed_initials", before[1].lower()))
+    return out + unlisted(text, low, out, lexicon)
+
+
+def unlisted(text: str, low: str, found: list[Candidate], lexicon: frozenset[str]) -> list[Candidate]:
+    """Names whose given name is on no list: a capitalised word before a surname that a candidate of the same text has.
+
+    Only a mention elsewhere makes them likely, so the skip edges decide them.
+    """
+    out = []
+    taken = sorted((c.start, c.end) for c in found)
+    for sur in sorted({c.core for c in found if c.form in ("given", "reversed") and len(c.core) > 2}):
+        at = low.find(f" {sur}")
+        while at >= 0:
+            end = at + 1 + len(sur)
+            m = _CAPITAL_BEFORE_RE.search(text, max(0, at - 32), at)
+            whole = m and not (end < len(text) and (_WORD_CHAR.match(text, end) or text[end] == "-")) and text[at + 1].isupper()
+            if whole and m[1].lower() not in lexicon and not any(a < end and m.start(1) < b for a, b in taken):
+                out.append(Candidate(m.start(1), end, NAME, "unlisted", sur, m[1].lower()))
+            at = low.find(f" {sur}", end)
     return out
 
 

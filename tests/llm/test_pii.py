@@ -1,13 +1,14 @@
 import math
 import random
 import time
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodeflow.llm import pii_patterns as patterns
-from lodeflow.llm.pii import Model, corpus_words, find, find_all, harvest, marginals, redact, sample_texts, train
+from lodeflow.llm.pii import Model, corpus_words, edges, find, find_all, harvest, marginals, redact, sample_texts, train
 from lodeflow.llm.pii_patterns import ADDRESS, EMAIL, IDENTITY, NAME, PHONE, candidates
 
 GIVEN = ["Arvo", "Belen", "Cosima", "Dario", "Elke", "Fenno", "Greta", "Hanno", "Iris", "Jori"]
@@ -184,3 +185,33 @@ def test_common_words_of_two_letters_are_no_surnames():
     texts = [t for t, _ in corpus(1500, 1)] + ["it is so\n"] * 40
     m = train(texts)
     assert {"it", "is", "so"} <= m.common and not find("// Iris is late", m)
+
+
+def test_skip_edges_decide_bare_and_unlisted_mentions():
+    """Ablation: a mention in a telling place carries the same name, and a relative whose given name is on no list, in bare places."""
+    m = Model(lexicon=frozenset({"iris"}), weights={"n:": -1.0, "n:l2=author :": 6.0}, links={"same": 2.5, "similar": 2.5, "near": 0.0, "mail": 0.0})
+    text = "// Author: Iris Karlund\nsee Brennoc Karlund again\nthen Iris Karlund\nand Iris Cache"
+    names = lambda m: [text[c.start : c.end] for c in find(text, m)]
+    assert names(m) == ["Iris Karlund", "Brennoc Karlund", "Iris Karlund"]
+    assert names(replace(m, links={})) == ["Iris Karlund"]
+
+
+def test_edge_weights_are_fitted_with_the_others():
+    """Names that repeat within a text: their edges get a weight, and labels of the neighbours alone can decide."""
+    rng = random.Random(3)
+    texts = [t for t, _ in corpus(400, 1)]
+    for _ in range(300):
+        g, s = rng.choice(GIVEN), rng.choice(START) + rng.choice(END)
+        texts.append(f"// Author: {g} {s}\nopen the ledger\n// Reviewed-by: {rng.choice([g, rng.choice(GIVEN)])} {s}\n// the Iris Cache step\nthen the Iris Cache\n")
+    m = train(texts)
+    assert m.links["same"] > 0.3 and m.links["similar"] > 0.3
+    assert train(texts, rounds=1).links != m.links
+
+
+def test_edges_join_what_repeats_or_resembles():
+    text = "call +44 20 7946 0048\nIris Karlund\n020 7946 0048\nGreta Karlund <greta.karlund@mail.example>\n12 Ash Lane\n14 Ash Lane\nIris Karlund"
+    m = Model(lexicon=frozenset({"iris", "greta"}))
+    found = candidates(text, m.trie, m.lexicon)
+    shown = {(text[found[i].start : found[i].end], text[found[j].start : found[j].end], k) for i, j, k in edges(text, found)}
+    assert {("+44 20 7946 0048", "020 7946 0048", "similar"), ("Iris Karlund", "Greta Karlund", "similar"), ("Greta Karlund", "greta.karlund@mail.example", "mail"), ("12 Ash Lane", "14 Ash Lane", "similar"), ("Iris Karlund", "Iris Karlund", "same")} <= shown
+    assert ("Greta Karlund", "greta.karlund@mail.example", "near") in shown
