@@ -1,6 +1,9 @@
 import random
 from itertools import product
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeflow.llm import bitmaps as B
@@ -53,3 +56,38 @@ def test_merging_packed_states(spark):
 def test_empty(spark):
     w = words(spark, [])
     assert B.cube_counts(w, ["day", "cat"], "role", {"s": "n"}).count() == 0 and B.pack(w, ["day", "cat", "role"]).count() == 0
+
+
+def bitmap(ids):
+    bits = np.zeros(B.CONTAINER, np.uint8)
+    bits[list(ids)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 65535), max_size=60), st.lists(st.tuples(st.integers(0, 65535), st.integers(1, 9000)), max_size=4), st.booleans())
+def test_containers_round_trip_in_the_smallest_form(ids, stretches, dense):
+    ids |= {i for a, n in stretches for i in range(a, min(a + n, 65536))} | (set(range(0, 65536, 3)) if dense else set())
+    data = B.to_bytes(bitmap(ids))
+    assert set(np.flatnonzero(np.unpackbits(B.to_bitmap(data), bitorder="little"))) == ids and B._count(data) == len(ids)
+    assert len(data) <= 1 + min(2 * len(ids), B.BITMAP_BYTES)
+
+
+def test_forms():
+    assert [B.to_bytes(bitmap(x))[0] for x in ({1, 5, 9}, range(0, 65536, 2), range(60_000))] == [B.ARRAY, B.BITMAP, B.RUNS]
+
+
+def test_containers_merge_as_they_are(spark):
+    data = rows(3000, 7)
+    packed = B.pack(words(spark, data), ["day", "cat", "role"])
+    by_day = B.merge(packed, ["day", "role"])
+    got = {(r.day, r.role): r.n for r in B.packed_count(by_day, ["day", "role"]).collect()}
+    assert got == {(d, w): len({x for a, _, r, x in data if (a, r) == (d, w)}) for d in ("d1", "d2", None) for w in "sr"}
+    both = {r.day: r.n for r in B.packed_count(B.merge(by_day, ["day"], at_least=2), ["day"]).collect()}
+    assert both == {d: len({x for a, _, r, x in data if a == d and r == "s"} & {x for a, _, r, x in data if a == d and r == "r"}) for d in ("d1", "d2", None)}
+    assert B.merge(packed.limit(0), ["day"]).count() == 0
+
+
+def test_state_takes_less_than_eight_bytes_a_member(spark):
+    packed = B.pack(words(spark, rows(4000, 2)), ["day", "cat", "role"]).select(F.sum(F.length("data")).alias("b"), F.sum("n").alias("n")).first()
+    assert packed.b / packed.n < 8
