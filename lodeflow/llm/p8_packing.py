@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeflow.llm.packing import fill_report, pack
 from lodeflow.llm.tokens import count_tokens
-from lodeflow.sources.tables import table
+from lodeflow.sources.tables import spread, table
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack(count_tokens(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "container_sizes"))
+    return pack(count_tokens(spread(table(spark, d, "documents", "doc_id", "text"), "doc_id")), table(spark, d, "container_sizes"))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeflow.llm.mixing import mix, report
 from lodeflow.llm.tokens import count_tokens
 from lodeflow.session import ensure_checkpoint_dir
-from lodeflow.sources.tables import table
+from lodeflow.sources.tables import spread, table
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return count_tokens(table(spark, d, "documents", "doc_id", "source", "text"), keep=("source",))
+    return count_tokens(spread(table(spark, d, "documents", "doc_id", "source", "text"), "doc_id"), keep=("source",))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -150,10 +150,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return out
 
 
+#: Bits of a key for the rank among items of one size.
+RANK_BITS = 40
+
+
 @dataclass
 class Plan:
-    """Containers by size and rank: item `rank` of `size` goes to base + (rank - low) // each of its interval."""
+    """Containers by size and rank: item `rank` of `size` goes to base + (rank - low) // each of its interval.
+
+    sizes: the sizes there are; key: place of the size among them and rank.
+    Bins below n_fixed are those that dominance has fixed.
+    """
 
+    sizes: np.ndarray
     key: np.ndarray
     low: np.ndarray
     each: np.ndarray
@@ -162,7 +171,7 @@ class Plan:
     n_fixed: int
 
     def find(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.key, (size.astype(np.int64) << 40) + rank, side="right") - 1
+        at = np.searchsorted(self.key, (np.searchsorted(self.sizes, size) << RANK_BITS) + rank, side="right") - 1
         return self.base[at] + (rank - self.low[at]) // self.each[at]
 
 
@@ -172,29 +181,34 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     fillings = fixed + best_fit(left, capacity)
     used: dict[int, int] = defaultdict(int)
     rows, base = [], 0
+    sizes = sorted(s for s, n in counts.items() if n)
+    place = {s: i for i, s in enumerate(sizes)}
+    if len(sizes) >> (63 - RANK_BITS) or max(counts.values(), default=0) >> RANK_BITS:
+        raise OverflowError("too many items of one size, or too many sizes")
     for content, number in fillings:
         for s, q in content.items():
-            rows.append(((s << 40) + used[s], used[s], q, base))
+            rows.append(((place[s] << RANK_BITS) + used[s], used[s], q, base))
             used[s] += q * number
         base += number
     if dict(used) != {s: n for s, n in counts.items() if n}:
         raise AssertionError("a size isn't packed in full")
     a = np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
-    return Plan(a[:, 0], a[:, 1], a[:, 2], a[:, 3], base, sum(k for _, k in fixed))
+    return Plan(np.array(sizes, dtype=np.int64), a[:, 0], a[:, 1], a[:, 2], a[:, 3], base, sum(k for _, k in fixed))
 
 
 def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str = "n_tokens", kind: str = "container", capacity: str = "capacity_tokens") -> DataFrame:
-    """container, bin_no, key, piece_no, first_token, n_tokens: every item in a bin of every kind of container.
+    """container, bin_no, key, piece_no, first_token, n_tokens, by_dominance: every item in a bin of every kind of container.
 
     An item above the capacity is cut into pieces of the capacity, each filling
     a bin, and a rest that is packed like an item; no other is split. Items of
     size 0 need no room and share bin 0. Bins are numbered from 0 for each kind.
-    Kinds with a NULL or non-positive capacity are left out. key must be unique.
+    by_dominance: the bin was fixed by dominance (a full piece's always is), not
+    filled by best fit. Kinds with a NULL or non-positive capacity are left out. key must be unique.
     """
     spark = items.sparkSession
     kinds = [(r[0], int(r[1])) for r in containers.select(kind, capacity).where(F.col(capacity) > 0).collect()]
     types = dict(items.dtypes)
-    out = f"{kind} string, bin_no bigint, `{key}` {types[key]}, piece_no int, first_token bigint, n_tokens bigint"
+    out = f"{kind} string, bin_no bigint, `{key}` {types[key]}, piece_no int, first_token bigint, n_tokens bigint, by_dominance boolean"
     if not kinds:
         return spark.createDataFrame([], out)
     ensure_checkpoint_dir(spark)
@@ -219,7 +233,7 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
         for b in batches:
             for k, g in b.groupby("k"):
                 name, p = shared.value[int(k)]
-                yield pd.DataFrame({kind: name, "bin_no": p.find(g.n_tokens.to_numpy(), g["rank"].to_numpy()), key: g[key], "piece_no": g.piece_no, "first_token": g.first_token, "n_tokens": g.n_tokens})
+                yield pd.DataFrame({kind: name, "bin_no": p.find(g.n_tokens.to_numpy(), g["rank"].to_numpy()), key: g[key], "piece_no": g.piece_no, "first_token": g.first_token, "n_tokens": g.n_tokens}).assign(by_dominance=lambda x: x.bin_no < p.n_fixed)
 
     placed = ranked.mapInPandas(place, out)
     # Full pieces need no plan: their bins follow the planned ones, in the order of hash parts.
@@ -229,13 +243,13 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     names = F.element_at(F.array(*[F.lit(n) for n, _ in kinds]), F.col("k") + 1)
     planned = F.element_at(F.array(*[F.lit(p.n_bins).cast("bigint") for p in plans]), F.col("k") + 1)
     pieces = wide.withColumn("_before", before).join(ahead, ["k", "_part"]).select("k", key, "c", (planned + F.col("_start") + F.col("_before")).alias("_bin"), F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece_no"))
-    pieces = pieces.select(names.alias(kind), (F.col("_bin") + F.col("piece_no")).cast("bigint").alias("bin_no"), key, "piece_no", (F.col("piece_no") * F.col("c")).cast("bigint").alias("first_token"), F.col("c").alias("n_tokens"))
-    empty = cut.where("n = 0").select(names.alias(kind), F.lit(0).cast("bigint").alias("bin_no"), key, F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("first_token"), F.lit(0).cast("bigint").alias("n_tokens"))
+    pieces = pieces.select(names.alias(kind), (F.col("_bin") + F.col("piece_no")).cast("bigint").alias("bin_no"), key, "piece_no", (F.col("piece_no") * F.col("c")).cast("bigint").alias("first_token"), F.col("c").alias("n_tokens"), F.lit(True).alias("by_dominance"))
+    empty = cut.where("n = 0").select(names.alias(kind), F.lit(0).cast("bigint").alias("bin_no"), key, F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("first_token"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(False).alias("by_dominance"))
     return placed.unionByName(pieces).unionByName(empty)
 
 
 def fill_report(packed: DataFrame, containers: DataFrame, kind: str = "container", capacity: str = "capacity_tokens") -> DataFrame:
-    """container, n_bins, n_tokens, fill, least_bins: bins used, tokens in them, the filled share, and the bound no packing can go below."""
-    total = packed.groupBy(kind).agg(F.countDistinct("bin_no").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
+    """container, n_bins, n_fixed, n_tokens, fill, least_bins: bins used, those of them fixed by dominance, tokens in them, the filled share, and the bound no packing can go below."""
+    total = packed.groupBy(kind).agg(F.countDistinct("bin_no").alias("n_bins"), F.countDistinct(F.when(F.col("by_dominance"), F.col("bin_no"))).alias("n_fixed"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
     c = F.col(capacity)
-    return total.join(containers.select(kind, capacity), kind).select(kind, capacity, "n_pieces", "n_bins", "n_tokens", (F.col("n_tokens") / (F.col("n_bins") * c)).alias("fill"), F.ceil(F.col("n_tokens") / c).alias("least_bins"))
+    return total.join(containers.select(kind, capacity), kind).select(kind, capacity, "n_pieces", "n_bins", "n_fixed", "n_tokens", (F.col("n_tokens") / (F.col("n_bins") * c)).alias("fill"), F.ceil(F.col("n_tokens") / c).alias("least_bins"))
