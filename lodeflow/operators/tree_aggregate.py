@@ -34,7 +34,7 @@ def tree_rounds(states: DataFrame, keys: list[str], merges: dict, leaves: int, f
         states = states.withColumn("_chunk", F.floor(F.col("_chunk") / fan_in).cast("int") if width > 1 else F.lit(0))
 
 
-def account_totals(rows: DataFrame, roles: dict[str, tuple[str, str]], amount: str, leaves: int = 64, fan_in: int = 8) -> DataFrame:
+def account_totals(rows: DataFrame, roles: dict[str, tuple[str, str]], amount: str, leaves: int | None = None, fan_in: int = 8) -> DataFrame:
     """role, account_sid, n_rows, n_amounts, total_amount, n_counterparties.
 
     roles: role -> (account column, counterparty column), already normalised.
@@ -42,8 +42,11 @@ def account_totals(rows: DataFrame, roles: dict[str, tuple[str, str]], amount: s
     the account NULL, so that counts add up to the table. An amount that is no
     whole number counts in n_rows only. total_amount is exact (text of up to
     78+ digits). n_counterparties: distinct non-null counterparties. The sum of
-    an account without any valid amount is NULL.
+    an account without any valid amount is NULL. leaves: parts of an account at
+    the first level; by default a few for each shuffle partition, so that the
+    rounds grow with the logarithm of the size.
     """
+    leaves = leaves or fan_in ** max(2, math.ceil(math.log(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan_in)))
     d = uint256.digits(amount)
     ends = F.array(*[F.struct(F.lit(r).alias("role"), F.col(a).alias("account_sid"), F.col(b).alias("_other")) for r, (a, b) in roles.items()])
     lines = rows.select(d.alias("_d"), F.explode(ends).alias("_e")).select("_e.*", F.col("_d").isNotNull().cast("long").alias("n_amounts"), *uint256.split(F.col("_d")))

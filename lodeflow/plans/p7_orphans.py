@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeflow.operators.orphans import Parent, find_orphans, orphan_counts
+from lodeflow.operators.orphans import Child, Parent, find_orphans, orphan_counts
 from lodeflow.sources.tables import table
 
 
@@ -17,8 +17,9 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     block = Parent(table(spark, d, "abstract_block", "block_sid", "ingested_at"), "block_sid", "ingested_at", removed("abstract_block"))
     transfers = table(spark, d, "abstract_token_transfer", "transfer_sid", "tx_sid", "token_sid", "ingested_at")
     txs = table(spark, d, "abstract_transaction", "tx_sid", "block_sid", "ingested_at")
-    return find_orphans(transfers, "abstract_token_transfer", "transfer_sid", "ingested_at", {"tx_sid": tx, "token_sid": token}).unionByName(
-        find_orphans(txs, "abstract_transaction", "tx_sid", "ingested_at", {"block_sid": block})
+    return find_orphans(
+        Child(transfers, "abstract_token_transfer", "transfer_sid", "ingested_at", {"tx_sid": tx, "token_sid": token}),
+        Child(txs, "abstract_transaction", "tx_sid", "ingested_at", {"block_sid": block}),
     )
 
 

@@ -6,8 +6,9 @@ import csv
 import io
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from lodeflow.schemas import RULES
 from lodeflow.serving.sqlguard import Refused, run_select
 
-#: Rows of an answer, at most; a longer one is refused, never cut.
-MAX_ROWS = 100_000
+#: Rows of an answer that are held at once; a longer answer is whole, too, but streamed.
+HELD_ROWS = 10_000
 UNITS = {"amounts": "ether (ETH)", "egonet_density": "0–1", "degree": "count", "scores": "0–100"}
 
 
@@ -73,26 +74,39 @@ def profile(df: DataFrame, chain: str, year: int, month: int, address: str) -> d
     }
 
 
-class TooLong(ValueError):
-    """An answer has more rows than MAX_ROWS."""
+class Streamed:
+    """A long answer: its columns, and its records in order, once."""
 
-    def __init__(self) -> None:
-        super().__init__(f"the answer has more than {MAX_ROWS} rows; narrow it or add a LIMIT")
+    def __init__(self, columns: list[str], rows: Iterable[dict]) -> None:
+        self.columns, self.rows = columns, rows
 
+    def __iter__(self) -> Iterator[dict]:
+        return iter(self.rows)
 
-def records(df: DataFrame, digits: int = 6) -> list[dict]:
-    """A whole result as JSON-ready records; TooLong if it is above the bound."""
+    def as_json(self) -> Iterator[str]:
+        for i, r in enumerate(self):
+            yield ("," if i else "[") + json.dumps(r, default=str)
+        yield "]"
+
+    def as_csv(self) -> Iterator[str]:
+        yield as_csv([], self.columns)
+        for r in self:
+            yield as_csv([r], self.columns, header=False)
+
+
+def records(df: DataFrame, digits: int = 6) -> list[dict] | Streamed:
+    """A whole result as JSON-ready records: a list up to HELD_ROWS, beyond that one partition after the other."""
     plain = lambda v: round(v, digits) if isinstance(v, float) else int(v) if isinstance(v, Decimal) and v == v.to_integral_value() else float(v) if isinstance(v, Decimal) else v
-    rows = df.limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        raise TooLong
-    return [{k: plain(v) for k, v in r.asDict().items()} for r in rows]
+    rows = ({k: plain(v) for k, v in r.asDict().items()} for r in df.toLocalIterator())
+    first = list(islice(rows, HELD_ROWS + 1))
+    return first if len(first) <= HELD_ROWS else Streamed(df.columns, chain(first, rows))
 
 
-def as_csv(rows: list[dict], columns: list[str]) -> str:
+def as_csv(rows: Iterable[dict], columns: list[str], header: bool = True) -> str:
     out = io.StringIO()
     w = csv.DictWriter(out, columns, lineterminator="\n")
-    w.writeheader()
+    if header:
+        w.writeheader()
     w.writerows(rows)
     return out.getvalue()
 
@@ -122,10 +136,7 @@ class Service:
             return 400, {"error": bad or "invalid n"}
         if df is None:
             return 404, {"error": "no data for this month"}
-        try:
-            return 200, records(top(df, min(k, 2**31 - 1)), 1)
-        except TooLong as e:
-            return 413, {"error": str(e)}
+        return 200, records(top(df, min(k, 2**31 - 1)), 1)
 
     def get_address(self, chain=None, year=None, month=None, addr="") -> tuple[int, object]:
         df, bad = self._month(chain, year, month)
@@ -145,12 +156,12 @@ class Service:
         try:
             out = run_select(df, body["sql"])
             rows = records(out)
-        except TooLong as e:
-            return 413, {"error": str(e)}
         except Refused as e:
             return 400, {"error": str(e)}
         except Exception as e:  # the statement's own error is the caller's
             return 400, {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+        if isinstance(rows, Streamed):
+            return 200, rows.as_csv() if fmt == "csv" else rows
         return 200, as_csv(rows, out.columns) if fmt == "csv" else rows
 
 
@@ -161,6 +172,15 @@ def make_server(service: Service, host: str = "127.0.0.1", port: int = 8000):
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, code: int, body: object) -> None:
+            parts = body.as_json() if isinstance(body, Streamed) else body if isinstance(body, Iterator) else None
+            if parts is not None:
+                # The end of the connection is the end of the answer.
+                self.send_response(code)
+                self.send_header("Content-Type", "application/json" if isinstance(body, Streamed) else "text/csv")
+                self.end_headers()
+                for p in parts:
+                    self.wfile.write(p.encode())
+                return
             data = (body if isinstance(body, str) else json.dumps(body, default=str)).encode()
             self.send_response(code)
             self.send_header("Content-Type", "text/csv" if isinstance(body, str) else "application/json")

@@ -73,10 +73,6 @@ def run_select(df: DataFrame, sql: str) -> DataFrame:
     spark = df.sparkSession
     check(spark, sql)
     alone = spark.newSession()
-    name = alone._jsparkSession
-    df._jdf.sparkSession()
-    from pyspark.sql import DataFrame as Frame
-
-    ref = Frame(alone._jvm.org.apache.spark.sql.classic.Dataset.ofRows(name, df._jdf.logicalPlan()), alone)
-    ref.createOrReplaceTempView("t")
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(alone._jsparkSession, df._jdf.logicalPlan())
+    DataFrame(plan, alone).createOrReplaceTempView("t")
     return alone.sql(sql)

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from lodeflow.operators.orphans import Parent, find_orphans, orphan_counts
+from lodeflow.operators.orphans import Child, Parent, find_orphans, orphan_counts
 
 T = datetime(2023, 1, 1)
 CHILD, PARENT = "id string, fk string, fk2 string, t timestamp, ref_sid string", "key string, t timestamp, status string"
@@ -16,7 +16,7 @@ def run(spark, children, parents, removed=(), parents2=()):
     c = spark.createDataFrame(children, CHILD)
     p = Parent(spark.createDataFrame(parents, PARENT), "key", "t", spark.createDataFrame([(x,) for x in removed], "k string"))
     q = Parent(spark.createDataFrame(list(parents2), PARENT), "key", "t")
-    return find_orphans(c, "child", "id", "t", {"fk": p, "fk2": q})
+    return find_orphans(Child(c, "child", "id", "t", {"fk": p, "fk2": q}))
 
 
 def test_every_status_once(spark):
@@ -40,3 +40,13 @@ def test_hot_key_and_counts(spark):
 def test_empty_tables(spark, which):
     got = run(spark, [] if which == "children" else [("a", "x", None, day(0), None)], [("x", day(0), "s")] if which == "children" else [])
     assert got.count() == (0 if which == "children" else 1)
+
+
+def test_tables_together_give_what_they_give_alone(spark):
+    a = spark.createDataFrame([(f"r{i}", f"k{i % 7}", None, day(i % 3), None) for i in range(60)], CHILD)
+    b = spark.createDataFrame([(f"s{i}", "hot" if i % 3 else f"r{i}", None, day(0), None) for i in range(90)], CHILD)
+    p = Parent(spark.createDataFrame([("k1", day(1), "s"), ("k2", day(0), "s")], PARENT), "key", "t", spark.createDataFrame([("k2",)], "k string"))
+    q = Parent(a, "id", "t")
+    one, two = Child(a, "a", "id", "t", {"fk": p}), Child(b, "b", "id", "t", {"fk": q})
+    together = sorted(map(tuple, find_orphans(one, two).collect()))
+    assert together == sorted(map(tuple, find_orphans(one).unionByName(find_orphans(two)).collect())) and len(together) > 90

@@ -78,11 +78,17 @@ def test_http(service):
         server.shutdown()
 
 
-def test_long_answers_are_refused_not_cut(service, monkeypatch):
-    body = {"chain": "ethereum", "year": 2023, "month": 1, "sql": "SELECT address FROM t"}
-    monkeypatch.setattr("lodeflow.serving.api.MAX_ROWS", 3)
-    assert len(service.post_sql(body)[1]) == 3 and len(service.get_top("ethereum", "2023", "1", "9" * 12)[1]) == 3
-    monkeypatch.setattr("lodeflow.serving.api.MAX_ROWS", 2)
-    for code, answer in (service.post_sql(body), service.post_sql(body, "csv"), service.get_top("ethereum", "2023", "1", "3")):
-        assert code == 413 and "more than 2 rows" in answer["error"]
-    assert len(service.post_sql(body | {"sql": "SELECT address FROM t LIMIT 2"})[1]) == 2 and len(service.get_top("ethereum", "2023", "1", "2")[1]) == 2
+def test_long_answers_are_streamed_whole(service, monkeypatch):
+    body = {"chain": "ethereum", "year": 2023, "month": 1, "sql": "SELECT address FROM t ORDER BY address"}
+    monkeypatch.setattr("lodeflow.serving.api.HELD_ROWS", 2)
+    want = [{"address": x} for x in ("0xAb", "0xcd", "0xef")]
+    assert list(service.post_sql(body)[1]) == want and "".join(service.post_sql(body, "csv")[1]) == "address\n0xAb\n0xcd\n0xef\n"
+    assert len(list(service.get_top("ethereum", "2023", "1", "9" * 12)[1])) == 3
+    server = make_server(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root = f"http://127.0.0.1:{server.server_port}/v1/sql"
+        assert json.load(urlopen(Request(root, json.dumps(body).encode()))) == want
+        assert urlopen(Request(root + "?format=csv", json.dumps(body).encode())).read() == b"address\n0xAb\n0xcd\n0xef\n"
+    finally:
+        server.shutdown()
