@@ -101,6 +101,7 @@ def _vocabulary() -> frozenset[str]:
     return frozenset(w for f in BLOCK_FIELDS for w in words(f))
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def rename_cost(path: str, shape: str, field: str) -> float:
     """0 for the same name, under RENAME_LIMIT for another name of the same quantity, else more."""
     name = path.rsplit(".", 1)[-1]
@@ -219,7 +220,9 @@ def file_fields(records: DataFrame) -> DataFrame:
     best = F.max(F.when(F.col("form").isNotNull(), F.struct("n", (-rank).alias("_r"), "form", F.col("_s.shape").alias("shape"))))
     fields = by_form.groupBy("feed", "file_seq", "path").agg(best.alias("_b"))
     node = F.struct("path", F.col("_b.form").alias("form"), F.coalesce("_b.shape", F.lit("other")).alias("shape"))
-    schemas = fields.groupBy("feed", "file_seq").agg(F.collect_list(node).alias("nodes"))
+    # Few bytes, but work for each: as many tasks as there are shuffle partitions, whatever the size.
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schemas = fields.repartition(parts, "feed", "file_seq").groupBy("feed", "file_seq").agg(F.collect_list(node).alias("nodes"))
     return schemas.mapInPandas(_scripts, "feed string, file_seq bigint, path string, field string, in_target boolean, form string, spelling string")
 
 
@@ -244,6 +247,7 @@ def changes(records: DataFrame) -> DataFrame:
     files = records.select("feed", "file_seq").distinct()
     trees = files.join(fields.groupBy("feed", "file_seq").agg(F.collect_list(F.struct("path", "thing", "field")).alias("after")), ["feed", "file_seq"], "left")
     pairs = trees.select("feed", "file_seq", F.lag("file_seq").over(in_feed).alias("_b"), F.lag("after").over(in_feed).alias("before"), "after").where("_b IS NOT NULL").drop("_b")
+    pairs = pairs.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feed", "file_seq")
     schema = "feed string, file_seq bigint, field string, change string"
     differences = pairs.mapInPandas(_differences, schema)
 

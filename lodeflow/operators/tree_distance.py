@@ -26,9 +26,13 @@ class Node:
     path: str
     data: object = None
     children: list[Node] = field(default_factory=list)
+    nodes: int = 0
 
     def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
+        """Nodes of the subtree; a tree doesn't change once it is asked for."""
+        if not self.nodes:
+            self.nodes = 1 + sum(c.size() for c in self.children)
+        return self.nodes
 
     def walk(self):
         yield self
@@ -108,6 +112,13 @@ class _Distance:
     def tree(self, a: Node, b: Node) -> tuple[float, list]:
         """Cost and mapped pairs of nodes for the subtrees below a and b."""
         key = id(a), id(b)
+        if not a.children and not b.children and a.path and b.path:
+            c = self.rename(a, b)
+            return (c, [(a, b)]) if c < DELETE + INSERT else (DELETE + INSERT, [])
+        if not a.path and not b.path:
+            # Roots stand for the files themselves.
+            cost, pairs = self.forest(a, b)
+            return cost, [(a, b), *pairs]
         if key not in self.trees:
             cost, pairs = self.forest(a, b)
             found = [(cost + self._relabel(a, b), [(a, b), *pairs])]
@@ -149,6 +160,11 @@ class _Distance:
             else:
                 left.append(c)
         others = list(right.values())
+        # What has no partner that is cheaper than to delete the one and insert the other takes no part in the assignment.
+        near = [[self.tree(x, y)[0] < DELETE * x.size() + INSERT * y.size() for y in others] for x in left]
+        used = [any(row[j] for row in near) for j in range(len(others))]
+        cost += DELETE * sum(x.size() for x, row in zip(left, near, strict=True) if not any(row)) + INSERT * sum(y.size() for y, u in zip(others, used, strict=True) if not u)
+        left, others = [x for x, row in zip(left, near, strict=True) if any(row)], [y for y, u in zip(others, used, strict=True) if u]
         n, m = len(left), len(others)
         if n and m:
             far = NEVER * 1000
@@ -162,8 +178,6 @@ class _Distance:
                         pairs += self.tree(left[i], others[j])[1]
                         taken.add(j)
             cost += sum(INSERT * y.size() for j, y in enumerate(others) if j not in taken)
-        else:
-            cost += DELETE * sum(c.size() for c in left) + INSERT * sum(c.size() for c in others)
         return cost, pairs
 
 
@@ -184,11 +198,12 @@ def edit_script(a: Node, b: Node, rename: Callable[[Node, Node], float]) -> tupl
     mapped, reached = {x.path for x, _ in pairs}, {y.path for _, y in pairs}
     lost = [x for x in a.walk() if x.path and not x.children and x.path not in mapped]
     new = [y for y in b.walk() if y.path and not y.children and y.path not in reached]
-    if lost and new:
-        table = [[rename(x, y) + MOVE for y in new] + [DELETE + INSERT] * len(lost) for x in lost]
+    movable = [x for x in lost if any(rename(x, y) + MOVE < DELETE + INSERT for y in new)]
+    if movable:
+        table = [[rename(x, y) + MOVE for y in new] + [DELETE + INSERT] * len(movable) for x in movable]
         for i, j in assign(table):
             if j < len(new) and table[i][j] < DELETE + INSERT:
-                pairs.append((lost[i], new[j]))
+                pairs.append((movable[i], new[j]))
                 cost += table[i][j] - DELETE - INSERT
     out = []
     for x, y in pairs:
