@@ -17,7 +17,8 @@ _LOCAL = r"[A-Za-z0-9À-ÿ](?:[\wÀ-ÿ.+-]{0,62}[\wÀ-ÿ+-])?"
 EMAIL_RE = re.compile(rf"(?<![\w.+-])(?:{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,24}}|{_LOCAL} at {_LABEL}(?: dot {_LABEL})* dot [A-Za-z]{{2,24}})(?![\w-])", re.IGNORECASE)
 _LOGIN_BEFORE = re.compile(r"[a-z]://[^\s/]*$")
 _LOGIN_AFTER = re.compile(r":[\w.~-]*/[\w.~/-]|:[\w~-]+\.git\b")
-_EMAIL_HINT = re.compile(r"@|%40|&#64;|[\[(] ?at ?[\])]| at ", re.IGNORECASE)
+#: Parts of every e-mail address, in lower case: a line without any of them has none.
+_EMAIL_HINTS = ("@", "%40", "&#64;", " at ", "[at", "(at", "[ at", "( at")
 
 #: Written forms of telephone and identity numbers; the first that fits counts.
 NUMBER_FORMS = {
@@ -56,8 +57,11 @@ ADDRESS_FORMS = {
 }
 _AFTER = rf"(?:,? (?:Apt|Apartment|Unit|Suite|Flat|Floor)\.? ?\d{{1,4}}[A-Za-z]?|, \d{{1,2}}[ºª°](?: [A-Z])?|, \d{{4,6}} {_WORD}(?: (?:{_WORD}|am|an|sur|der))*|, {_WORD}(?: (?:{_WORD}|am|an|sur|der))*(?: \d{{4,6}})?| \d{{5}})"
 ADDRESS_RE = re.compile(r"(?<![\w.,/-])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in ADDRESS_FORMS.items()) + rf")(?P<rest>{_AFTER}*)")
-#: A part of every form, of the same words: a text without it has no address.
-_ADDRESS_HINT = re.compile(rf"\b(?:{_STREETS})\b|\d(?: ?bis| ?ter|[a-z])?,? (?:{_FRENCH})|\b(?:{_SPANISH}) |(?:{_GERMAN}) \d|\b(?:{_AM}) [A-ZÀ-Þ]")
+#: Parts of every form, of the same words: a line without any of them has no address. True: the word ends there.
+_ADDRESS_HINTS = (
+    *[(f" {w}", True) for w in _STREETS.split("|")], *[(f" {w}", False) for w in _FRENCH.replace("all[ée]e", "allée|allee").split("|")], *[(f"{w} ", False) for w in _SPANISH.replace("\\", "").split("|")],
+    *[(f"{w} ", False) for w in _GERMAN.replace("\\", "").split("|")], *[(f"{w} ", False) for w in _AM.split("|")],
+)
 
 PARTICLES = r"(?:(?:de|di|da|del|von|van|der|den|al|el|la|le|bin|ibn|zu|af)[ -])"
 _SUR = rf"{PARTICLES}*(?:[^\W\d_]['’])?[^\W\d_]{{2,25}}(?:-[^\W\d_]{{2,24}}){{0,2}}"
@@ -71,6 +75,7 @@ _FIRST_SUR_RE = re.compile(rf"({_SUR})(?![\w@(=])", re.IGNORECASE)
 _LAST_INITIALS_RE = re.compile(r", [^\W\d_a-zà-ÿ]\.(?: [^\W\d_a-zà-ÿ]\.)?(?![\w.])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _CAPITAL_BEFORE_RE = re.compile(r"(?<![\w@.'’+-])([^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]{1,24})$")
+_DIGIT = re.compile(r"\d")
 _WORD_CHAR = re.compile(r"[\w@]")
 
 
@@ -100,11 +105,35 @@ def tokens(text: str) -> set[str]:
     return out
 
 
-def emails(text: str) -> list[Candidate]:
-    if not _EMAIL_HINT.search(text):
-        return []
+def lines_with(text: str, hints, searched: str | None = None) -> list[tuple[int, int]]:
+    """Start and end of the lines that hold one of the hints: literals, or pairs (literal, whether a word must end there)."""
+    searched = text if searched is None else searched
+    found: set[tuple[int, int]] = set()
+    for hint in hints:
+        word, whole = hint if isinstance(hint, tuple) else (hint, False)
+        at = searched.find(word)
+        while at >= 0:
+            after = at + len(word)
+            if whole and after < len(text) and (text[after].isalnum() or text[after] == "_"):
+                at = searched.find(word, after)
+                continue
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            found.add((text.rfind("\n", 0, at) + 1, end))
+            at = searched.find(word, end)
+    return sorted(found)
+
+
+def emails(text: str, low: str) -> list[Candidate]:
+    out = []
+    for a, b in lines_with(text, _EMAIL_HINTS, low):
+        out += _emails(text, a, b)
+    return out
+
+
+def _emails(text: str, a: int, b: int) -> list[Candidate]:
     out = []
-    for m in EMAIL_RE.finditer(text):
+    for m in EMAIL_RE.finditer(text, a, b):
         s = m.group()
         # A login in a repository or database address is no e-mail address.
         if _LOGIN_BEFORE.search(text, max(0, m.start() - 80), m.start()) or _LOGIN_AFTER.match(text, m.end()):
@@ -126,9 +155,11 @@ def numbers(text: str) -> list[Candidate]:
 
 
 def addresses(text: str) -> list[Candidate]:
-    if not _ADDRESS_HINT.search(text):
-        return []
-    return [Candidate(m.start(), m.end(), ADDRESS, next(k for k in ADDRESS_FORMS if m.group(k)), m.group()[: len(m.group()) - len(m.group("rest"))].lower()) for m in ADDRESS_RE.finditer(text)]
+    out = []
+    for a, b in lines_with(text, _ADDRESS_HINTS):
+        if _DIGIT.search(text, a, b):
+            out += [Candidate(m.start(), m.end(), ADDRESS, next(k for k in ADDRESS_FORMS if m.group(k)), m.group()[: len(m.group()) - len(m.group("rest"))].lower()) for m in ADDRESS_RE.finditer(text, a, b)]
+    return out
 
 
 def names(text: str, low: str, given, lexicon: frozenset[str]) -> list[Candidate]:
@@ -196,5 +227,6 @@ def unlisted(text: str, low: str, found: list[Candidate], lexicon: frozenset[str
 
 def candidates(text: str, given, lexicon: frozenset[str]) -> list[Candidate]:
     """All candidates of a text, by position."""
-    found = emails(text) + numbers(text) + addresses(text) + names(text, lowered(text), given, lexicon)
+    low = lowered(text)
+    found = emails(text, low) + numbers(text) + addresses(text) + names(text, low, given, lexicon)
     return sorted(found, key=lambda c: (c.start, -c.end, c.kind))
