@@ -44,3 +44,8 @@ def whole_number_text(c: Column | str) -> Column:
     """A digit string without leading zeros ("007" and " 7" give "7"); other texts normalised as they are."""
     t = normalised(c)
     return F.when(t.rlike(r"^[0-9]+$"), F.regexp_replace(t, r"^0+(?=[0-9])", "")).otherwise(t)
+
+
+def spread_nulls(key: str, by: str) -> Column:
+    """A text key for an outer join: as it is, or a text that matches none where it is NULL, spread by another column so that such rows don't gather in one task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\x00null "), F.pmod(F.xxhash64(by), F.lit(4096)).cast("string")))

@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeflow.functions.text import spread_nulls
 from lodeflow.functions.uint256 import at_least, digits
 from lodeflow.schemas import BLACKLIST, MIN_AMOUNT
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """left with right's columns, by a left join on key; left's rows without a key are spread by another column, as they match nothing and needn't meet."""
+    k = spread_nulls(key, by)
+    return left.withColumn("_k", k).join(right.withColumnRenamed(key, "_k"), "_k", "left").drop("_k")
+
+
 def edgelist(transfers: DataFrame, transactions: DataFrame, blocks: DataFrame) -> DataFrame:
     """transfer_sid, from_address_sid, to_address_sid, amount, token_sid, tx_sid, timestamp: two left joins.
 
     A transfer without a transaction or block keeps its row with a NULL
     timestamp; a key with several rows on the right repeats the transfer.
     """
-    dated = transfers.join(transactions.select("tx_sid", "block_sid"), "tx_sid", "left").join(blocks.select("block_sid", "timestamp"), "block_sid", "left")
+    dated = _joined(_joined(transfers, transactions.select("tx_sid", "block_sid"), "tx_sid", "transfer_sid"), blocks.select("block_sid", "timestamp"), "block_sid", "transfer_sid")
     return dated.select("transfer_sid", F.col("spender_address_sid").alias("from_address_sid"), F.col("receiver_address_sid").alias("to_address_sid"), "amount", "token_sid", "tx_sid", "timestamp")
 
 
 def unmatched(transfers: DataFrame, transactions: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row: transfers, those without a transaction, those whose transaction has no block."""
     tx = transactions.select("tx_sid", "block_sid").withColumn("_tx", F.lit(True))
-    j = transfers.select("tx_sid").join(tx, "tx_sid", "left").join(blocks.select("block_sid").withColumn("_block", F.lit(True)), "block_sid", "left")
+    j = _joined(_joined(transfers.select("tx_sid", "transfer_sid"), tx, "tx_sid", "transfer_sid"), blocks.select("block_sid").withColumn("_block", F.lit(True)), "block_sid", "transfer_sid")
     return j.agg(F.count("*").alias("n_rows"), F.count_if(F.col("_tx").isNull()).alias("without_tx"), F.count_if(F.col("_tx").isNotNull() & F.col("_block").isNull()).alias("without_block"))
 
 

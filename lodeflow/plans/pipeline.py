@@ -264,6 +264,19 @@ def rule_totals(spark, d):
     return detect.rule_totals(_ruled(spark, d))
 
 
+#: Features made of part numbers so that each of the six rules fires on some rows and on others does not.
+_GRID = """SELECT p_partkey AS node, CASE WHEN p_partkey % 10 = 0 THEN 200 WHEN p_partkey % 10 = 1 THEN 1 ELSE p_partkey % 50 END AS in_degree, CASE WHEN p_partkey % 7 = 0 THEN 100 ELSE p_partkey % 5 END AS out_degree,
+  1000.0 AS total_input_amount, CASE WHEN p_partkey % 4 = 0 THEN 980.0 WHEN p_partkey % 4 = 1 THEN 1049.0 ELSE 700.0 END AS total_output_amount,
+  p_partkey % 6 AS two_node_loop_count, CAST(p_partkey % 97 AS DOUBLE) AS two_node_loop_amount, p_partkey % 83 AS two_node_loop_tx_count, p_partkey % 4 AS triangle_loop_count, CAST(p_partkey % 89 AS DOUBLE) AS triangle_loop_amount, p_partkey % 71 AS triangle_loop_tx_count FROM {part}"""
+
+
+@query(f"WITH pl AS ({_GRID.format(part='part')}), {_LIMITS}, rl AS (SELECT pl.*, " + ", ".join(f"CASE WHEN coalesce({c}, false) THEN 1 ELSE 0 END AS {r}_flag" for r, c in _FLAGS.items()) + f" FROM pl, th) SELECT node, {', '.join(f'{r}_flag' for r in RULE_TEXTS)} FROM rl")
+def rules_on_grid(spark, d):
+    """All six rules on made-up features on which each of them fires."""
+    made = spark.sql(_GRID, part=table(spark, d, "part", "p_partkey"))
+    return detect.with_rules(made).select("node", *[f"{r}_flag" for r in RULE_TEXTS])
+
+
 _LOGS = ", ".join(f"ln(1 + {c}::DOUBLE) AS {c}_log" for c in detect.LOGGED) + ", ln((in_degree + 1)::DOUBLE / (out_degree + 1)) AS log_degree_ratio, ln((total_input_amount::DOUBLE + 1) / (total_output_amount::DOUBLE + 1)) AS log_amount_ratio, egonet_density"
 _LOGGED = f"{_PLAIN}, lg AS (SELECT node, {_LOGS} FROM pl)"
 _ROUND = lambda c: F.round(c, 6)
