@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeflow.functions.text import normalised
+from lodeflow.functions.text import normalised, spread_nulls
 from lodeflow.llm import bitmaps
 from lodeflow.plans.ledger import DAYS_SQL, transaction_days
 from lodeflow.session import stored
@@ -19,6 +19,7 @@ def members(spark: SparkSession, d: str) -> DataFrame:
     """day, category, token_sid, role, account: distinct. A transfer without a known block has the day NULL."""
     t = table(spark, d, "abstract_token_transfer", "tx_sid", "category", "token_sid", "spender_address_sid", "receiver_address_sid")
     t = t.select(normalised("tx_sid").alias("tx_sid"), "category", normalised("token_sid").alias("token_sid"), F.array(*[F.struct(F.lit(r).alias("role"), normalised(f"{r}_address_sid").alias("account")) for r in ROLES]).alias("_a"))
+    t = t.withColumn("tx_sid", spread_nulls("tx_sid", "_a"))
     dated = t.join(transaction_days(spark, d), "tx_sid", "left").withColumn("day", F.date_from_unix_date("day_no"))
     return dated.select(*DIMS, F.inline("_a")).where("account IS NOT NULL").distinct()
 
