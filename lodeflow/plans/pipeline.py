@@ -12,12 +12,15 @@ from lodeflow.operators import clean, detect, edgelist, evaluate, features, grap
 from lodeflow.operators.forest import isolation_scores
 from lodeflow.operators.order import average_rank
 from lodeflow.plans import network as N
+from lodeflow.plans.p2_drift import SQL as P2_SQL
+from lodeflow.plans.p2_drift import p2_blocks
 from lodeflow.schemas import RAW_BLOCK_COLUMNS, RAW_TRANSFER_COLUMNS, RULE_TEXTS, SCHEMAS
 from lodeflow.serving import api
 from lodeflow.serving.sqlguard import run_select
 from lodeflow.session import stored
 from lodeflow.sources.tables import table
 
+BLOCK_VALUES_SQL = P2_SQL["p2_block_values"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -87,11 +90,10 @@ def clean_reject_reasons(spark, d):
     return clean.reject_counts(clean.checked_transfers(raw))
 
 
-@query()
+@query(f"""SELECT lower(trim(block_hash)) AS block_hash, CASE WHEN parent_hash NOT IN ({_TOKENS}) THEN parent_hash END AS parent_hash, CAST(block_number AS BIGINT) AS block_number, CAST("timestamp" AS BIGINT) AS "timestamp", CAST(coalesce(chain_id, '1') AS INTEGER) AS chain_id
+  FROM ({BLOCK_VALUES_SQL}) WHERE CAST(block_number AS BIGINT) BETWEEN 10000 AND 999999999 AND regexp_full_match(lower(trim(block_hash)), '0x.{{64}}') AND "timestamp" IS NOT NULL""")
 def clean_blocks(spark, d):
     """Clean blocks from files whose schemas drift."""
-    from lodeflow.plans.p2_drift import p2_blocks
-
     return clean.clean_blocks(p2_blocks(spark, d).select(*[F.col(c).cast("string").alias(c) for c in RAW_BLOCK_COLUMNS]))
 
 
