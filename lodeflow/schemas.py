@@ -25,6 +25,7 @@ BLACKLIST = (
 )
 MIN_AMOUNT = 10**12
 
+#: Columns of the feature table, in its order.
 NODE_FEATURES = ("in_degree", "out_degree", "in_transfer_count", "out_transfer_count", "total_input_amount", "total_output_amount", "balance_proxy")
 MOTIF_FEATURES = ("self_loop_count", "two_node_loop_count", "two_node_loop_amount", "two_node_loop_tx_count", "triangle_loop_count", "triangle_loop_amount", "triangle_loop_tx_count")
 EGONET_FEATURES = ("egonet_node_count", "egonet_edge_count", "egonet_density")
@@ -39,6 +40,7 @@ RULE_TEXTS = {
     "H5": "H5: Participates in closed two-node loops with high value or frequent transfers. May indicate wash trading or self-laundering.",
     "H6": "H6: Participates in closed triangle-shaped loops with high value or frequent transfers. May indicate self-laundering or obfuscation.",
 }
+#: Score columns and the order of the result table.
 RULES = tuple(RULE_TEXTS)
 SCORES = ("rule_score_raw", "rule_score_100", "mahalanobis_distance_stats_score_100", "iforest_stats_score_100", "final_score_0_100", "final_score_top_percent", "final_score_top_percent_display")
 RESULT_COLUMNS = (*ID_COLUMNS, *NODE_FEATURES, *MOTIF_FEATURES, *EGONET_FEATURES, *[c for r in RULES for c in (f"{r}_flag", f"{r}_description")], "mahalanobis_distance", "iforest_score", *SCORES)
