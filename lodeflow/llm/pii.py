@@ -338,7 +338,8 @@ def train(texts: Sequence[str], words: tuple[Mapping[str, int], frozenset[str]]
             break
         model.weights, model.links = weights, ties
     if not model.weights:
-        model.weights = {k[0] + ":": 1.0 for k in (EMAIL, PHONE, IDENTITY, ADDRESS)}
+        # Too few labelled candidates, or all of them alike: forms and lists decide.
+        model.weights = {k[0] + ":": 1.0 for k in (EMAIL, PHONE, IDENTITY, ADDRESS, NAME)}
     return model
 
 

@@ -215,3 +215,9 @@ def test_edges_join_what_repeats_or_resembles():
     shown = {(text[found[i].start : found[i].end], text[found[j].start : found[j].end], k) for i, j, k in edges(text, found)}
     assert {("+44 20 7946 0048", "020 7946 0048", "similar"), ("Iris Karlund", "Greta Karlund", "similar"), ("Greta Karlund", "greta.karlund@mail.example", "mail"), ("12 Ash Lane", "14 Ash Lane", "similar"), ("Iris Karlund", "Iris Karlund", "same")} <= shown
     assert ("Greta Karlund", "greta.karlund@mail.example", "near") in shown
+
+
+def test_a_corpus_too_small_to_fit_goes_by_forms_and_lists():
+    texts = ["// Author: Iris Karlund\n", "holder: Dario Ostrova\nphone: +44 20 7946 0048\n"]
+    m = train(texts)
+    assert [c.kind for t in texts for c in find(t, m)] == [NAME, NAME, PHONE] and [c.kind for c in find("then Dario Selbergo", m)] == [NAME]
